@@ -87,6 +87,10 @@ def _parse_bits(text: Column, start: int, width: int) -> Column:
     return F.conv(F.substring(text, start, width), 2, 10).cast("bigint")
 
 
+def whole_division(value: Column, by: int) -> Column:
+    return F.call_function("div", value, F.lit(by))
+
+
 # -- bit arithmetic -------------------------------------------------------
 
 def flip_bit(x: Column | str, p: Column | int) -> Column:

@@ -5,8 +5,8 @@ cut once more: for every slice of at most six free bits, codes that agree
 outside the slice share one BIGINT bitmap of the slice values present.  The
 bitmap is a ``bit_or``, so
 
-* copies of a code and hot cells melt in the map-side partial aggregate,
 * a group is eight bytes however many rows feed it,
+* a bitmap of distinct codes has at most 64 contributors, so no shuffle key is hot,
 * no group is collected, and no candidates are compared row by row.
 
 Two codes at distance 1 differ in one bit, hence in one slice, hence they meet
@@ -45,9 +45,14 @@ def _lookup(values: list[int], t: Column, kind: str = "int") -> Column:
     return F.get(F.array(*[big(v).cast(kind) for v in values]), t)
 
 
-def slice_bitmaps(df: DataFrame, cell: list[str], words: list[str],
-                  slices: list[Slice]) -> DataFrame:
-    """One row per cell, slice and value outside the slice: ``(cell, t, words, bitmap)``."""
+def slice_bitmaps(df: DataFrame, cell: list[str], words: list[str], slices: list[Slice],
+                  partitions: int | None = None) -> DataFrame:
+    """One row per cell, slice and value outside the slice: ``(cell, t, words, bitmap)``.
+
+    ``df`` holds distinct codes.  Rows are shuffled before they are aggregated: a
+    map-side combine would find little to combine among distinct codes, and its
+    hash table would hold every code once per slice.
+    """
     t = F.col("t")
     df = df.select(*cell, *words, F.explode(F.array(*map(F.lit, range(len(slices))))).alias("t"))
     in_word = {
@@ -58,11 +63,10 @@ def slice_bitmaps(df: DataFrame, cell: list[str], words: list[str],
                     (F.col(w).bitwiseAND(mask) for w, mask in in_word.items()))
     slot = shr(chosen, _lookup([s.offset for s in slices], t))
     rest = [F.col(w).bitwiseAND(F.bitwise_not(mask)).alias(w) for w, mask in in_word.items()]
-    return (
-        df.select(*cell, "t", *rest, shl(big(1), slot).alias("bitmap"))
-        .groupBy(*cell, "t", *words)
-        .agg(F.bit_or("bitmap").alias("bitmap"))
-    )
+    by = [*cell, "t", *words]
+    sliced = df.select(*cell, "t", *rest, shl(big(1), slot).alias("bitmap"))
+    spread = sliced.repartition(*([partitions] if partitions else []), *by)
+    return spread.groupBy(*by).agg(F.bit_or("bitmap").alias("bitmap"))
 
 
 def bitmap_pairs(bitmaps: DataFrame, cell: list[str], words: list[str],

@@ -33,7 +33,11 @@ def with_words(df: DataFrame, code: str, layout: Layout) -> DataFrame:
         x = F.col(code).cast("bigint")
         bad = F.raise_error(F.concat(F.lit(f"not a {layout.b}-bit code: "), x.cast("string")))
         words = [F.when(x.between(big(0), big((1 << layout.b) - 1)), x).otherwise(bad)]
-    return df.withColumns(dict(zip(word_names(layout), words)))
+    # Never null by type, so no join or filter tests for null again.  Such a test
+    # would be pushed below and evaluate the code a second time, and it would keep
+    # Spark from sharing a shuffle between branches that have it and those that do not.
+    known = [F.coalesce(w, big(0)) for w in words]
+    return df.withColumns(dict(zip(word_names(layout), known)))
 
 
 def code_column(words: list[Column], layout: Layout, text: bool) -> Column:

@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import big, ones, shl
+from ..functions.bits import big, ones, shl, whole_division
 from ..functions.layout import Layout
 from ..plans.strategy import GROUP, HASHING, MAXPARALLEL, SERIAL, Strategy
 from .codes import code_column, is_text, with_words, word_names
@@ -35,7 +35,7 @@ def grid_home(words: list[Column], s: Strategy) -> tuple[Column, Column]:
 
     def cell(weight: Column) -> Column:
         # the full weight joins the last cell instead of opening a new one
-        return F.least(F.floor(weight / s.param) + 1, F.lit(half // s.param)).cast("int")
+        return F.least(whole_division(weight, s.param) + 1, F.lit(half // s.param)).cast("int")
 
     left, right = _half_weights(words, s)
     return cell(left), cell(right)
@@ -93,20 +93,23 @@ def shared_cells(a: list[Column], c: list[Column], s: Strategy) -> Column:
     return n.cast("bigint")
 
 
+CELL_FIELDS = {SERIAL: ["one"], HASHING: ["lo", "hi"], GROUP: ["gi", "gj"]}
+
+
 def explode_cells(df: DataFrame, words: list[str], s: Strategy) -> DataFrame:
-    """Add the ``key`` of the strategies whose cells span the whole code."""
+    """Add the ``CELL_FIELDS`` of the strategies whose cells span the whole code."""
     cols = [F.col(w) for w in words]
     if s.name == SERIAL:
-        return df.withColumn("key", F.struct(F.lit(1).alias("one")))
+        return df.withColumn("one", F.lit(1))
     if s.name == HASHING:
-        i, j = F.col("_i"), F.col("_j")
-        key = F.struct(F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi"))
         df = df.withColumn("_i", block_of(cols, s))
         df = df.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(s.param - 1))))
-        return df.withColumn("key", key).drop("_i", "_j")
+        ends = {"lo": F.least("_i", "_j"), "hi": F.greatest("_i", "_j")}
+        return df.withColumns(ends).drop("_i", "_j")
     if s.name == GROUP:
-        df = df.withColumn("key", F.explode(F.array(*grid_cells(cols, s))))
-        return df.where(F.col("key").isNotNull())
+        df = df.withColumn("_cell", F.explode(F.array(*grid_cells(cols, s))))
+        df = df.where(F.col("_cell").isNotNull())
+        return df.withColumns({f: F.col("_cell")[f] for f in CELL_FIELDS[GROUP]}).drop("_cell")
     raise ValueError(f"{s.name} keys do not span the whole code")
 
 
@@ -135,8 +138,11 @@ def section_key(words: list[Column], n: Column, s: Strategy, text: bool) -> Colu
 def keyed_words(df: DataFrame, s: Strategy, text: bool) -> DataFrame:
     """Add ``key`` to rows that carry the word columns, one row per cell."""
     names = word_names(s.layout)
-    if s.name in (SERIAL, HASHING, GROUP):
-        return explode_cells(df, names, s)
+    if s.name in CELL_FIELDS:
+        fields = CELL_FIELDS[s.name]
+        # the caller's columns may have the names of the fields
+        own = df.select(F.struct(*df.columns).alias("_row"), *names)
+        return explode_cells(own, names, s).select("_row.*", F.struct(*fields).alias("key"))
     words = [F.col(w) for w in names]
     last = len(s.free_ranges) - 1
     df = df.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(last))))

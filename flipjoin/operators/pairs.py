@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.strategy import GROUP, HASHING, SERIAL, Strategy, strategy as make_strategy
 from .cells import bitmap_pairs, slice_bitmaps
 from .codes import code_column, is_text, with_words, word_names
-from .keys import block_of, explode_cells, grid_home, section_key
+from .keys import CELL_FIELDS, block_of, explode_cells, grid_home, section_key
 
 
 def pairs(
@@ -19,6 +19,8 @@ def pairs(
     code: str = "x",
     mode: str = "distinct",
     with_key: bool = False,
+    unique: bool = False,
+    partitions: int | None = None,
     **params,
 ) -> DataFrame:
     """Pairs ``(x_lo, x_hi)`` of codes present in ``df``, ``x_lo`` having the zero bit.
@@ -27,6 +29,10 @@ def pairs(
     cell in which both codes meet, as a plain map/group/reduce run would.
     ``with_key`` adds the ``key`` of that cell.  Copies of a code count once; see
     ``record_pairs`` for pairs of records.  Text codes of more than 63 bits give text pairs.
+
+    Codes are made distinct first, which melts copies before anything is
+    multiplied; ``unique=True`` leaves that out where the code is a key of ``df``.
+    ``partitions`` sizes the one large shuffle (default: the session's setting).
     """
     if mode not in ("distinct", "raw"):
         raise ValueError("mode is distinct or raw")
@@ -37,11 +43,14 @@ def pairs(
     text = is_text(df, code) and not layout.narrow
 
     codes = with_words(df, code, layout).select(*names)
+    if not unique:
+        codes = codes.distinct()
     cell = []
     if s.name in (HASHING, GROUP):
         codes = explode_cells(codes, names, s)
-        cell = ["key"]
-    found = bitmap_pairs(slice_bitmaps(codes, cell, names, s.slices), cell, names, s.slices)
+        cell = CELL_FIELDS[s.name]
+    bitmaps = slice_bitmaps(codes, cell, names, s.slices, partitions)
+    found = bitmap_pairs(bitmaps, cell, names, s.slices)
 
     lo = [F.col(f"lo{w}") for w in names]
     hi = [F.col(f"hi{w}") for w in names]
@@ -56,14 +65,14 @@ def pairs(
 def _responsible(lo: list[Column], hi: list[Column], s: Strategy) -> Column:
     """Whether this cell is the one that reports the pair, among all that see it."""
     if s.name == HASHING:
-        return (F.col("key.lo") == F.col("key.hi")) | (block_of(lo, s) != block_of(hi, s))
+        return (F.col("lo") == F.col("hi")) | (block_of(lo, s) != block_of(hi, s))
     (li, lj), (hi_i, hi_j) = grid_home(lo, s), grid_home(hi, s)
-    return (F.col("key.gi") == F.least(li, hi_i)) & (F.col("key.gj") == F.least(lj, hi_j))
+    return (F.col("gi") == F.least(li, hi_i)) & (F.col("gj") == F.least(lj, hi_j))
 
 
 def _cell_key(lo: list[Column], s: Strategy, text: bool) -> Column:
     if s.name == SERIAL:
         return F.struct(F.lit(1).alias("one"))
     if s.name in (HASHING, GROUP):
-        return F.col("key")
+        return F.struct(*CELL_FIELDS[s.name])
     return section_key(lo, F.col("section"), s, text)

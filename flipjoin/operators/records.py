@@ -39,13 +39,14 @@ def record_pair_counts(df: DataFrame, b: int, strategy: str | Strategy = "auto",
     """``(x_lo, x_hi, n_lo, n_hi)``: the whole record result without writing it out.
 
     A code pair stands for ``n_lo * n_hi`` record pairs, a number that may grow
-    with the square of the table.  Here one row stands for all of them; both
-    joins are on codes, which are unique on the counting side.
+    with the square of the table.  Here one row stands for all of them.  Records
+    are counted per code once; the pairs and both joins work on the counts.
     """
     n = code_counts(df, b, code)
     lo = n.select(F.col("x").alias("x_lo"), F.col("n").alias("n_lo"))
     hi = n.select(F.col("x").alias("x_hi"), F.col("n").alias("n_hi"))
-    found = pairs(df, b, strategy, code=code, **params)
+    # the test is always true and makes this branch share the shuffle of the counts
+    found = pairs(n.where(F.col("n") > 0), b, strategy, unique=True, **params)
     return found.join(lo, "x_lo").join(hi, "x_hi").select("x_lo", "x_hi", "n_lo", "n_hi")
 
 

@@ -81,7 +81,10 @@ def _emissions(codes: DataFrame, s: Strategy, unique: bool) -> DataFrame:
     """``e`` per code pair: shared cells times record pairs, wide enough not to overflow."""
     names = word_names(s.layout)
     slices = strategy("auto", s.b).slices
-    found = bitmap_pairs(slice_bitmaps(codes, [], names, slices), [], names, slices)
+    # always true; a branch without ``n`` would count the records a second time
+    # instead of sharing the shuffle of the counts
+    counted = codes.where(F.col("n") > 0)
+    found = bitmap_pairs(slice_bitmaps(counted, [], names, slices), [], names, slices)
     lo, hi = [f"lo{w}" for w in names], [f"hi{w}" for w in names]
     shared = shared_cells([F.col(c) for c in lo], [F.col(c) for c in hi], s)
     if unique:

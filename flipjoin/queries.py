@@ -24,7 +24,7 @@ from .plans.cost import cost_profile
 from .plans.strategy import Strategy, strategy
 from .plans.timing import TIMING_SCHEMA, timing_profile, timing_summary
 from .session import shared_folder
-from .sources.encoders import bit_width, fold_signs, position_bitmap, sign_text, text_digest
+from .sources.encoders import bit_width, fold_signs, position_bitmap, sign_text, text_digests
 from .sources.reports import append_report, read_report
 from .sources.text import read_bitstrings, write_bitstrings
 from .sources.universe import bit_universe, payload_length, with_payload
@@ -68,8 +68,8 @@ def shipping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents")
-    return df.select(F.col("doc_id").alias("id"), text_digest("text", 16).alias("x"))
+    df = text_digests(table(spark, sf_dir, "documents"), "text", 16)
+    return df.select(F.col("doc_id").alias("id"), "x")
 
 
 def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,10 @@ CODE_SQL = {
         f"bool_or(pos = {_SHIP_POSITION}) AS seen FROM lineitem, range({SHIP_MONTHS}) t(pos) "
         "GROUP BY l_orderkey, pos) GROUP BY l_orderkey"
     ),
-    "digest": "SELECT doc_id AS id, ('0x' || substr(md5(text), 1, 4))::BIGINT AS x FROM documents",
+    "digest": (
+        "SELECT doc_id AS id, ('0x' || substr(md5(text), 1, 4))::BIGINT AS x "
+        "FROM documents WHERE text IS NOT NULL"
+    ),
     "orders": "SELECT o_orderkey AS id, o_orderkey AS x FROM orders",
     "turns": "SELECT conv_id * 65536 + turn AS id, conv_id AS x, role FROM conversations",
 }

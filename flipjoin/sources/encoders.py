@@ -37,11 +37,15 @@ def sign_text(vector: str, dims: int) -> Column:
     ])
 
 
-def text_digest(text: str, b: int = 16) -> Column:
-    """The first ``b`` bits of the MD5 digest of a whole text (``b`` a multiple of 4)."""
+def text_digests(df: DataFrame, text: str, b: int = 16, code: str = "x") -> DataFrame:
+    """Add the first ``b`` bits of the MD5 digest of a whole text; rows without text go.
+
+    The code is typed as never null, so later null tests do not digest a text again.
+    """
     if b % 4 or not 4 <= b <= 60:
         raise ValueError("b must be a multiple of 4 in 4..60")
-    return F.conv(F.substring(F.md5(F.col(text)), 1, b // 4), 16, 10).cast("bigint")
+    value = F.conv(F.substring(F.md5(F.col(text)), 1, b // 4), 16, 10).cast("bigint")
+    return df.where(F.col(text).isNotNull()).withColumn(code, F.coalesce(value, big(0)))
 
 
 def position_bitmap(df: DataFrame, by: str, position: Column, b: int, code: str = "x") -> DataFrame:
