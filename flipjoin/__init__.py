@@ -1,6 +1,6 @@
 """Pairs of binary codes at Hamming distance 1, and what finding them costs, on Spark."""
 
-from .operators.formatting import format_pairs
+from .operators.formatting import format_keys, format_pairs
 from .operators.groups import emits_histogram, group_sizes, groups, partition_sizes, size_histogram
 from .operators.keys import keyed
 from .operators.pairs import pairs
@@ -16,7 +16,7 @@ from .sources.universe import bit_universe, payload_length, with_payload
 __all__ = [
     "COST_SCHEMA", "STRATEGIES", "Strategy", "TIMING_SCHEMA", "append_report", "bit_universe",
     "code_counts", "configure", "cost_profile", "cost_profiles", "emits_histogram",
-    "format_pairs", "group_sizes", "groups", "keyed", "pairs", "partition_sizes",
+    "format_keys", "format_pairs", "group_sizes", "groups", "keyed", "pairs", "partition_sizes",
     "payload_length", "read_bitstrings", "read_report", "record_pair_counts", "record_pairs",
     "shared_folder", "shuffle_partitions", "size_histogram", "strategy", "timing_profile",
     "timing_summary", "with_payload", "write_bitstrings",

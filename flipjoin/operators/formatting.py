@@ -34,3 +34,9 @@ def format_pairs(df: DataFrame, b: int, style: str = "plain", *, payload: int |
     first, second = ("x_hi", "x_lo") if style == "reversed" else ("x_lo", "x_hi")
     text = F.concat(F.lit("["), shown(first), F.lit(","), shown(second), F.lit("]"))
     return df.withColumn(result, text)
+
+
+def format_keys(df: DataFrame, key: str = "key") -> DataFrame:
+    """Replace the fields of ``key`` by one text, separated by commas."""
+    fields = [F.col(key)[f].cast("string") for f in df.schema[key].dataType.names]
+    return df.withColumn(key, F.concat_ws(",", *fields))

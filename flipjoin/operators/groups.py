@@ -6,16 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.strategy import Strategy
-from .codes import with_words, word_names
-from .keys import emits, keyed
+from .codes import is_text, with_words, word_names
+from .keys import emits, keyed, keyed_words
 
 # Groups are shown as arrays only where the strategy bounds them by this.
 LISTED_MEMBERS = 4096
+# A cell of at most this many distinct codes needs no map-side sum.
+SMALL_CELL = 65536
+
+
+def word_counts(df: DataFrame, s: Strategy, code: str = "x") -> DataFrame:
+    """The word columns of every code and ``n``, its records."""
+    names = word_names(s.layout)
+    codes = with_words(df, code, s.layout)
+    return codes.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cell_sizes(counts: DataFrame, s: Strategy, text: bool) -> DataFrame:
+    """``(key, q)`` from counted codes.
+
+    Few large cells are summed map-side first.  Many small ones would only fill
+    the map-side hash table; with copies already counted, no such key is hot,
+    so their rows go straight to the shuffle.
+    """
+    keys = keyed_words(counts, s, text)
+    if s.cell_bound and s.cell_bound <= SMALL_CELL:
+        keys = keys.select("key", "n").repartition("key")
+    return keys.groupBy("key").agg(F.sum("n").alias("q"))
 
 
 def group_sizes(df: DataFrame, s: Strategy, code: str = "x") -> DataFrame:
-    """``(key, q)``: records per cell, counted map-side first."""
-    return keyed(df, s, code).groupBy("key").agg(F.count(F.lit(1)).alias("q"))
+    """``(key, q)``: records per cell."""
+    text = is_text(df, code) and not s.layout.narrow
+    return cell_sizes(word_counts(df, s, code), s, text)
 
 
 def size_histogram(df: DataFrame, s: Strategy, code: str = "x") -> DataFrame:
@@ -39,7 +62,7 @@ def groups(df: DataFrame, s: Strategy, code: str = "x") -> DataFrame:
     bound = s.cell_bound
     if bound is None or bound > LISTED_MEMBERS:
         raise ValueError(f"cells of {s.name} are not bounded by {LISTED_MEMBERS} members; use keyed")
-    members = keyed(df.select(code), s, code)
+    members = keyed(df.select(code).distinct(), s, code)
     return members.groupBy("key").agg(F.sort_array(F.collect_set(code)).alias("members"))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators.cells import bitmap_pairs, slice_bitmaps
 from ..operators.codes import is_text, with_words, word_names
-from ..operators.keys import emits, keyed_words, shared_cells
+from ..operators.groups import cell_sizes, word_counts
+from ..operators.keys import emits, shared_cells
 from .strategy import Strategy, strategy
 
 COST_SCHEMA = (
@@ -35,19 +36,17 @@ def cost_profile(df: DataFrame, s: Strategy, *, k: int = 1, key_volume: int = 0,
     names = word_names(s.layout)
     words = [F.col(w) for w in names]
     text = is_text(df, code) and not s.layout.narrow
-    codes = with_words(df, code, s.layout).select(*names)
     if unique:
-        codes = codes.withColumn("n", F.lit(1).cast("bigint"))
+        codes = with_words(df, code, s.layout).select(*names, F.lit(1).cast("bigint").alias("n"))
     else:
-        codes = codes.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+        codes = word_counts(df, s, code)
 
     n = F.col("n")
     mapped = codes.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("map_in"),
         F.coalesce(F.sum(n * emits(words, s)), F.lit(0)).alias("map_out"),
     )
-    sizes = keyed_words(codes, s, text).groupBy("key").agg(F.sum(n).alias("q"))
-    reduced = sizes.agg(
+    reduced = cell_sizes(codes, s, text).agg(
         F.coalesce(F.max("q"), F.lit(0)).alias("q_max"),
         F.coalesce(F.sum("q"), F.lit(0)).alias("q_sum"),
         F.count(F.lit(1)).alias("reducers"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import bits as fb
 from .functions.layout import section_masks
-from .operators.formatting import format_pairs
+from .operators.formatting import format_keys, format_pairs
 from .operators.groups import emits_histogram, group_sizes, groups, partition_sizes, size_histogram
 from .operators.keys import keyed
 from .operators.pairs import pairs
@@ -586,6 +586,19 @@ for _style in ("plain", "reversed", "sections"):
     )
 
 
+def _formatted_keys(s: Strategy, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_keys(keyed(months(spark, sf_dir), s)).select("key", "id")
+
+
+for _s in strategies(WIDTH["months"]):
+    _clause, _key = key_sql("months", _s)
+    register(
+        f"keys_formatted_{_s.name}",
+        partial(_formatted_keys, _s),
+        f"{_clause} SELECT concat_ws(',', {', '.join(_key)}) AS key, id FROM k",
+    )
+
+
 # -- layout and timing: values depend on the run -------------------------------------
 
 def _placement(spark: SparkSession, sf_dir: str) -> DataFrame:

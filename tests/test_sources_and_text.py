@@ -5,8 +5,8 @@ import pytest
 from conftest import codes_frame
 from pyspark.sql import functions as F
 
-from flipjoin import (TIMING_SCHEMA, append_report, bit_universe, cost_profile, format_pairs, pairs,
-                      payload_length, read_bitstrings, read_report, shared_folder,
+from flipjoin import (TIMING_SCHEMA, append_report, bit_universe, cost_profile, format_keys, format_pairs,
+                      keyed, pairs, payload_length, read_bitstrings, read_report, shared_folder,
                       shuffle_partitions, strategy, timing_profile, timing_summary,
                       write_bitstrings)
 from flipjoin.functions import bits as fb
@@ -149,6 +149,11 @@ def test_formats(spark):
             text(style, **options)
 
 
+def test_key_format(spark):
+    df = keyed(codes_frame(spark, [0b0110]), strategy("hashing", 4, J=2, block_by="mod"))
+    assert sorted(r.key for r in format_keys(df).collect()) == ["0,0", "0,1"]
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "json"])
 def test_reports_append(spark, universe, tmp_path, fmt):
     path = str(tmp_path / "report")
