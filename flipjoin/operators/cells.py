@@ -46,12 +46,12 @@ def _lookup(values: list[int], t: Column, kind: str = "int") -> Column:
 
 
 def slice_bitmaps(df: DataFrame, cell: list[str], words: list[str], slices: list[Slice],
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, combine: bool = False) -> DataFrame:
     """One row per cell, slice and value outside the slice: ``(cell, t, words, bitmap)``.
 
-    ``df`` holds distinct codes.  Rows are shuffled before they are aggregated: a
-    map-side combine would find little to combine among distinct codes, and its
-    hash table would hold every code once per slice.
+    Rows are shuffled before they are aggregated: a map-side combine finds little to
+    combine among distinct codes in random order, and its hash table would hold every
+    code once per slice.  ``combine`` is for input whose close codes lie together.
     """
     t = F.col("t")
     df = df.select(*cell, *words, F.explode(F.array(*map(F.lit, range(len(slices))))).alias("t"))
@@ -65,8 +65,9 @@ def slice_bitmaps(df: DataFrame, cell: list[str], words: list[str], slices: list
     rest = [F.col(w).bitwiseAND(F.bitwise_not(mask)).alias(w) for w, mask in in_word.items()]
     by = [*cell, "t", *words]
     sliced = df.select(*cell, "t", *rest, shl(big(1), slot).alias("bitmap"))
-    spread = sliced.repartition(*([partitions] if partitions else []), *by)
-    return spread.groupBy(*by).agg(F.bit_or("bitmap").alias("bitmap"))
+    if not combine:
+        sliced = sliced.repartition(*([partitions] if partitions else []), *by)
+    return sliced.groupBy(*by).agg(F.bit_or("bitmap").alias("bitmap"))
 
 
 def bitmap_pairs(bitmaps: DataFrame, cell: list[str], words: list[str],

@@ -20,6 +20,7 @@ def pairs(
     mode: str = "distinct",
     with_key: bool = False,
     unique: bool = False,
+    clustered: bool = False,
     partitions: int | None = None,
     **params,
 ) -> DataFrame:
@@ -32,7 +33,10 @@ def pairs(
 
     Codes are made distinct first, which melts copies before anything is
     multiplied; ``unique=True`` leaves that out where the code is a key of ``df``.
-    ``partitions`` sizes the one large shuffle (default: the session's setting).
+    ``clustered=True`` is for tables stored in the order of the code, such as running
+    numbers: up to 64 codes then melt into one row before the only shuffle.  Either
+    hint changes the speed only, never the pairs.  ``partitions`` sizes the large
+    shuffle of unclustered codes (default: the session's setting).
     """
     if mode not in ("distinct", "raw"):
         raise ValueError("mode is distinct or raw")
@@ -43,13 +47,13 @@ def pairs(
     text = is_text(df, code) and not layout.narrow
 
     codes = with_words(df, code, layout).select(*names)
-    if not unique:
+    if not (unique or clustered):
         codes = codes.distinct()
     cell = []
     if s.name in (HASHING, GROUP):
         codes = explode_cells(codes, names, s)
         cell = CELL_FIELDS[s.name]
-    bitmaps = slice_bitmaps(codes, cell, names, s.slices, partitions)
+    bitmaps = slice_bitmaps(codes, cell, names, s.slices, partitions, clustered)
     found = bitmap_pairs(bitmaps, cell, names, s.slices)
 
     lo = [F.col(f"lo{w}") for w in names]

@@ -248,7 +248,7 @@ def _pairs(code: str, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     b = width(code, df)
     params = parameters(name, b)
     params.pop("block_by", None)
-    return pairs(df, b, name, **params)
+    return pairs(df, b, name, clustered=code == "orders", **params)  # running numbers
 
 
 for _code in ("emb8", "months", "orders", "shipping"):

@@ -110,6 +110,15 @@ def test_unique_and_partitions(spark, universe):
     assert pairs(universe, 8, unique=True, partitions=3).count() == 1024
 
 
+def test_hints_do_not_change_the_pairs(spark):
+    """Wrong hints, on repeated and scattered codes, cost time only."""
+    values = [5, 200, 4, 5, 5, 201, 77, 4] * 3
+    df = codes_frame(spark, values)
+    for hint in ({"unique": True}, {"clustered": True}):
+        for s in all_strategies(8)[:6]:
+            assert as_pairs(pairs(df, 8, s, **hint)) == brute(values)
+
+
 @pytest.mark.parametrize("name,params", [
     ("group", {"u": 3}), ("group", {}), ("hashing", {}), ("hashing", {"J": 0}),
     ("hashing", {"J": 2, "block_by": "row"}), ("multisection", {}), ("multisection", {"section": 11}),

@@ -33,6 +33,9 @@ def test_pairs_plan(table, name, params):
     assert text.count("Exchange hashpartitioning") == 2  # distinct codes, then sliced codes
     once = plan(pairs(table, 12, name, unique=True, **params))
     assert once.count("Exchange hashpartitioning") == 1
+    combined = plan(pairs(table, 12, name, clustered=True, **params))
+    assert combined.count("Exchange hashpartitioning") == 1
+    assert combined.index("partial_bit_or") > combined.index("Exchange hashpartitioning")
     assert as_pairs(df) == brute([i * 7 % 4096 for i in range(2000)])
 
 
