@@ -18,7 +18,7 @@ def all_strategies(b):
     return found
 
 
-@pytest.mark.parametrize("b", [2, 4, 6, 10, 13])
+@pytest.mark.parametrize("b", [2, 6, 13])
 def test_strategies_agree_on_the_universe(spark, b):
     df = bit_universe(spark, b)
     for s in all_strategies(b):
@@ -26,7 +26,7 @@ def test_strategies_agree_on_the_universe(spark, b):
         assert len(got) == b * 2 ** (b - 1), s
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.integers(2, 8).map(lambda h: 2 * h), st.randoms(use_true_random=False))
 def test_strategies_agree_on_random_subsets(spark, b, rnd):
     values = [rnd.randrange(2 ** b) for _ in range(rnd.randrange(1, 300))]
@@ -36,7 +36,7 @@ def test_strategies_agree_on_random_subsets(spark, b, rnd):
         assert as_pairs(pairs(df, b, s)) == want, s
 
 
-@pytest.mark.parametrize("b", [49, 62, 63, 98, 103, 120, 128])
+@pytest.mark.parametrize("b", [49, 63, 98, 128])
 def test_long_codes(spark, b):
     rnd = random.Random(b)
     values = [rnd.randrange(2 ** b) for _ in range(60)]
