@@ -23,7 +23,7 @@ docs AS ({_shingles('documents', 'doc_id', 5)}),
 hits AS (
   SELECT doc_id, item_id FROM docs JOIN needed USING (s)
   GROUP BY doc_id, item_id HAVING count(*) * 10 >= any_value(q) * 8)
-SELECT d.doc_id, count(h.item_id) AS n_items, min(h.item_id) AS item_id, count(h.item_id) > 0 AS contaminated
+SELECT d.doc_id, count(h.item_id) AS n_items, coalesce(min(h.item_id), -1) AS item_id, count(h.item_id) > 0 AS contaminated
 FROM documents d LEFT JOIN hits h USING (doc_id) GROUP BY d.doc_id
 """
 

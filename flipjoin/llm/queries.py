@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, contamination, grace_dedup, line_dedup, packing, quality_knn, simhash_golay,
+from . import (chat_format, contamination, grace_dedup, line_dedup, ngram_lm, packing, quality_knn, simhash_golay,
                suffix_dedup, toxicity_mil)
 from .common import table
 from .oracles import ORACLES  # noqa: F401
@@ -21,6 +21,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity_mil.toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     spans = F.transform("offending", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string")))
@@ -29,7 +33,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_items", "item_id", "contaminated")
+    return out.select("doc_id", "n_items", F.coalesce("item_id", F.lit(-1).cast("long")).alias("item_id"), "contaminated")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +97,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_suffix_dedup, op3_toxicity, op4_decontamination, op5_packing, op6_exact_dedup,
+    f.__name__: f for f in (op1_suffix_dedup, op2_language_model, op3_toxicity, op4_decontamination, op5_packing, op6_exact_dedup,
                             op7_quality, op8_simhash, op9_line_dedup, op10_chat_format)
 }
