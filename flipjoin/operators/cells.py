@@ -1,16 +1,16 @@
-"""The reduce side: distance-1 pairs inside cells of any size.
+"""The reduce side: all distance-1 pairs without comparing the members of a cell.
 
-Comparing all members of a cell costs the square of its size.  Here a cell is
-cut once more: for every slice of at most six free bits, codes that agree
-outside the slice share one BIGINT bitmap of the slice values present.  The
-bitmap is a ``bit_or``, so
+Comparing all members of a cell costs the square of its size.  Here, for every
+slice of at most six bits, codes that agree outside the slice share one BIGINT
+bitmap of the slice values present.  The bitmap is a ``bit_or``, so
 
 * a group is eight bytes however many rows feed it,
 * a bitmap of distinct codes has at most 64 contributors, so no shuffle key is hot,
 * no group is collected, and no candidates are compared row by row.
 
 Two codes at distance 1 differ in one bit, hence in one slice, hence they meet
-in exactly one bitmap per cell.
+in exactly one bitmap.  In which cells of a strategy they meet follows from the two
+codes (``keys.pair_cells``), so no code is repeated for each of its cells.
 """
 
 from __future__ import annotations
@@ -45,16 +45,20 @@ def _lookup(values: list[int], t: Column, kind: str = "int") -> Column:
     return F.get(F.array(*[big(v).cast(kind) for v in values]), t)
 
 
-def slice_bitmaps(df: DataFrame, cell: list[str], words: list[str], slices: list[Slice],
-                  partitions: int | None = None, combine: bool = False) -> DataFrame:
-    """One row per cell, slice and value outside the slice: ``(cell, t, words, bitmap)``.
+def slice_bitmaps(df: DataFrame, words: list[str], slices: list[Slice],
+                  partitions: int | None = None, combine: bool = False,
+                  count: str | None = None) -> DataFrame:
+    """One row per slice and value outside the slice: ``(t, words, bitmap)``.
 
     Rows are shuffled before they are aggregated: a map-side combine finds little to
     combine among distinct codes in random order, and its hash table would hold every
     code once per slice.  ``combine`` is for input whose close codes lie together.
+    With ``count``, a column of distinct codes, ``counts`` lists it by slot: a bitmap has
+    64 slots, so the list is as bounded as the bitmap.
     """
     t = F.col("t")
-    df = df.select(*cell, *words, F.explode(F.array(*map(F.lit, range(len(slices))))).alias("t"))
+    kept = [count] if count else []
+    df = df.select(*words, *kept, F.explode(F.array(*map(F.lit, range(len(slices))))).alias("t"))
     in_word = {
         w: _lookup([s.mask if s.word == k else 0 for s in slices], t, "bigint")
         for k, w in enumerate(words)
@@ -63,16 +67,20 @@ def slice_bitmaps(df: DataFrame, cell: list[str], words: list[str], slices: list
                     (F.col(w).bitwiseAND(mask) for w, mask in in_word.items()))
     slot = shr(chosen, _lookup([s.offset for s in slices], t))
     rest = [F.col(w).bitwiseAND(F.bitwise_not(mask)).alias(w) for w, mask in in_word.items()]
-    by = [*cell, "t", *words]
-    sliced = df.select(*cell, "t", *rest, shl(big(1), slot).alias("bitmap"))
+    by = ["t", *words]
+    slotted = [F.struct(slot.cast("int").alias("slot"), F.col(count).alias("n")).alias("count")] if count else []
+    sliced = df.select("t", *rest, shl(big(1), slot).alias("bitmap"), *slotted)
     if not combine:
         sliced = sliced.repartition(*([partitions] if partitions else []), *by)
-    return sliced.groupBy(*by).agg(F.bit_or("bitmap").alias("bitmap"))
+    listed = [F.map_from_entries(F.collect_list("count")).alias("counts")] if count else []
+    return sliced.groupBy(*by).agg(F.bit_or("bitmap").alias("bitmap"), *listed)
 
 
-def bitmap_pairs(bitmaps: DataFrame, cell: list[str], words: list[str],
-                 slices: list[Slice]) -> DataFrame:
-    """Unfold bitmaps into ``(cell, section, lo words, hi words)``, lo having the zero bit."""
+def bitmap_pairs(bitmaps: DataFrame, words: list[str], slices: list[Slice]) -> DataFrame:
+    """Unfold bitmaps into ``(position, lo words, hi words)``, lo having the zero bit there.
+
+    Bitmaps with ``counts`` also give ``n_lo`` and ``n_hi``.
+    """
     width = max(s.width for s in slices)
     t, bitmap, i, p = F.col("t"), F.col("bitmap"), F.col("_i"), F.col("_p")
 
@@ -99,5 +107,7 @@ def bitmap_pairs(bitmaps: DataFrame, cell: list[str], words: list[str],
         x = F.col(w).bitwiseOR(low.bitwiseAND(mine))
         lo.append(x.alias(f"lo{w}"))
         hi.append(x.bitwiseOR(flip.bitwiseAND(mine)).alias(f"hi{w}"))
-    section = _lookup([s.section for s in slices], t).alias("section")
-    return hits.select(*cell, section, *lo, *hi)
+    position = (_lookup([s.position for s in slices], t) + p).alias("position")
+    counts = [F.col("counts")[i].alias("n_lo"), F.col("counts")[i.bitwiseOR(shl(F.lit(1), p))].alias("n_hi")] \
+        if "counts" in bitmaps.columns else []
+    return hits.select(position, *lo, *hi, *counts)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.bits import big, long_to_bits, text_to_words, words_to_text
+from ..functions.bits import big, text_to_words, words_to_text
 from ..functions.layout import Layout
 
 
@@ -44,7 +44,3 @@ def code_column(words: list[Column], layout: Layout, text: bool) -> Column:
     """The words in the form the user gave: BIGINT or text."""
     return words_to_text(words, layout) if text else words[0]
 
-
-def with_bits(df: DataFrame, b: int, code: str = "x", bits: str = "bits") -> DataFrame:
-    """Add the text form of a BIGINT code."""
-    return df.withColumn(bits, long_to_bits(code, b))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.strategy import Strategy
-from .codes import is_text, with_words, word_names
+from .codes import code_column, is_text, with_words, word_names
 from .keys import emits, keyed, keyed_words
 
 # Groups are shown as arrays only where the strategy bounds them by this.
@@ -56,13 +56,18 @@ def emits_histogram(df: DataFrame, s: Strategy, code: str = "x") -> DataFrame:
 def groups(df: DataFrame, s: Strategy, code: str = "x") -> DataFrame:
     """``(key, members)``: the distinct codes of every cell, sorted.
 
+    A text is taken for its first ``b`` characters; up to 63 bits members are BIGINT.
     For strategies whose cells have a bound.  Elsewhere a cell may hold the whole
     table; ``keyed`` gives the same membership with one row per member.
     """
     bound = s.cell_bound
     if bound is None or bound > LISTED_MEMBERS:
         raise ValueError(f"cells of {s.name} are not bounded by {LISTED_MEMBERS} members; use keyed")
-    members = keyed(df.select(code).distinct(), s, code)
+    # the significant bits only: rows may carry padding
+    text = is_text(df, code) and not s.layout.narrow
+    words = [F.col(w) for w in word_names(s.layout)]
+    codes = with_words(df, code, s.layout).select(code_column(words, s.layout, text).alias(code)).distinct()
+    members = keyed(codes, s, code)
     return members.groupBy("key").agg(F.sort_array(F.collect_set(code)).alias("members"))
 
 

@@ -113,6 +113,38 @@ def explode_cells(df: DataFrame, words: list[str], s: Strategy) -> DataFrame:
     raise ValueError(f"{s.name} keys do not span the whole code")
 
 
+def section_of(position: Column, s: Strategy) -> Column:
+    """Number of the range of the strategy that holds a bit position."""
+    number = {p: m for m, (low, high) in enumerate(s.free_ranges) for p in range(low, high)}
+    return F.get(F.array(*[F.lit(number[p]) for p in range(s.b)]), position)
+
+
+def pair_cells(lo: list[Column], hi: list[Column], s: Strategy, all_cells: bool) -> Column:
+    """The cells (structs of ``CELL_FIELDS``) in which a pair meets, from its codes alone.
+
+    An array: of all of them, or of the one that reports the pair.  For the strategies
+    whose cells span the whole code.
+    """
+    if s.name == SERIAL:
+        return F.array(F.struct(F.lit(1).alias("one")))
+    if s.name == HASHING:
+        i, j = block_of(lo, s), block_of(hi, s)
+
+        def cell(x: Column, y: Column) -> Column:
+            return F.struct(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi"))
+
+        one = F.array(cell(i, j))
+        if not all_cells:
+            return one
+        every = F.transform(F.sequence(F.lit(0), F.lit(s.param - 1)), lambda k: cell(i, k))
+        return F.when(i == j, every).otherwise(one)
+    if all_cells:
+        mine, other = (F.array_compact(F.array(*grid_cells(w, s))) for w in (lo, hi))
+        return F.array_intersect(mine, other)
+    (li, lj), (ri, rj) = grid_home(lo, s), grid_home(hi, s)
+    return F.array(F.struct(F.least(li, ri).alias("gi"), F.least(lj, rj).alias("gj")))
+
+
 def masked_words(words: list[Column], n: Column, ranges: list[tuple[int, int]],
                  layout: Layout) -> list[Column]:
     """The words with range number ``n`` set to zero."""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.strategy import GROUP, HASHING, SERIAL, Strategy, strategy as make_strategy
+from ..plans.strategy import MAXPARALLEL, MULTISECTION, Strategy, strategy as make_strategy
 from .cells import bitmap_pairs, slice_bitmaps
 from .codes import code_column, is_text, with_words, word_names
-from .keys import CELL_FIELDS, block_of, explode_cells, grid_home, section_key
+from .keys import pair_cells, section_key, section_of
 
 
 def pairs(
@@ -49,34 +49,25 @@ def pairs(
     codes = with_words(df, code, layout).select(*names)
     if not (unique or clustered):
         codes = codes.distinct()
-    cell = []
-    if s.name in (HASHING, GROUP):
-        codes = explode_cells(codes, names, s)
-        cell = CELL_FIELDS[s.name]
-    bitmaps = slice_bitmaps(codes, cell, names, s.slices, partitions, clustered)
-    found = bitmap_pairs(bitmaps, cell, names, s.slices)
-
-    lo = [F.col(f"lo{w}") for w in names]
-    hi = [F.col(f"hi{w}") for w in names]
-    if mode == "distinct" and not s.exactly_once:
-        found = found.where(_responsible(lo, hi, s))
+    found = word_pairs(codes, s, partitions, clustered)
+    lo, hi = ([F.col(f"{side}{w}") for w in names] for side in ("lo", "hi"))
     out = [code_column(lo, layout, text).alias("x_lo"), code_column(hi, layout, text).alias("x_hi")]
-    if with_key:
-        out.insert(0, _cell_key(lo, s, text).alias("key"))
-    return found.select(*out)
-
+    if s.name in (MAXPARALLEL, MULTISECTION):  # one cell each
+        key = section_key(lo, section_of(F.col("position"), s), s, text)
+        return found.select(*([key.alias("key")] if with_key else []), *out)
+    if with_key or (mode == "raw" and not s.exactly_once):
+        cells = F.explode(pair_cells(lo, hi, s, mode == "raw"))
+        found = found.withColumn("key", cells)
+    return found.select(*(["key"] if with_key else []), *out)
 
-def _responsible(lo: list[Column], hi: list[Column], s: Strategy) -> Column:
-    """Whether this cell is the one that reports the pair, among all that see it."""
-    if s.name == HASHING:
-        return (F.col("lo") == F.col("hi")) | (block_of(lo, s) != block_of(hi, s))
-    (li, lj), (hi_i, hi_j) = grid_home(lo, s), grid_home(hi, s)
-    return (F.col("gi") == F.least(li, hi_i)) & (F.col("gj") == F.least(lj, hi_j))
 
+def word_pairs(codes: DataFrame, s: Strategy, partitions: int | None = None,
+               clustered: bool = False, count: str | None = None) -> DataFrame:
+    """``(position, lo words, hi words)`` of every pair of distinct codes, once.
 
-def _cell_key(lo: list[Column], s: Strategy, text: bool) -> Column:
-    if s.name == SERIAL:
-        return F.struct(F.lit(1).alias("one"))
-    if s.name in (HASHING, GROUP):
-        return F.struct(*CELL_FIELDS[s.name])
-    return section_key(lo, F.col("section"), s, text)
+    The same for every strategy: a strategy says in which cells a pair meets, which its
+    codes tell.  Each code is sent once per slice of six bits.
+    """
+    names = word_names(s.layout)
+    slices = s.layout.slices([(0, s.b)])
+    return bitmap_pairs(slice_bitmaps(codes, names, slices, partitions, clustered, count), names, slices)

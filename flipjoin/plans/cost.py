@@ -8,15 +8,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cells import bitmap_pairs, slice_bitmaps
 from ..operators.codes import is_text, with_words, word_names
 from ..operators.groups import cell_sizes, word_counts
 from ..operators.keys import emits, shared_cells
-from .strategy import Strategy, strategy
+from ..operators.pairs import word_pairs
+from .strategy import Strategy
 
 COST_SCHEMA = (
     "strategy STRING, param INT, b INT, k INT, map_in BIGINT, map_out BIGINT, "
-    "map_in_kb BIGINT, map_out_kb BIGINT, red_in_kb BIGINT, red_out_kb BIGINT, "
+    "map_in_kb BIGINT, map_out_kb BIGINT, red_in_kb BIGINT, red_out_kb DECIMAL(38,0), "
     "q_max BIGINT, q_sum BIGINT, reducers BIGINT"
 )
 
@@ -26,7 +26,8 @@ def cost_profile(df: DataFrame, s: Strategy, *, k: int = 1, key_volume: int = 0,
     """One row of costs for running ``s`` on the records of ``df``.
 
     ``k`` is the size of a record and ``key_volume`` that of a key, in KB.
-    ``red_out_kb`` counts every emission, one per cell in which two records meet.
+    ``red_out_kb`` counts every emission, one per cell in which two records meet; it grows
+    with the square of copies and is a DECIMAL.
 
     Records are first counted per code; every cost then follows from the codes
     and their counts.  ``unique=True`` skips that count where codes do not repeat.
@@ -52,7 +53,7 @@ def cost_profile(df: DataFrame, s: Strategy, *, k: int = 1, key_volume: int = 0,
         F.count(F.lit(1)).alias("reducers"),
     )
     emitted = _emissions(codes, s, unique).agg(
-        F.coalesce(F.sum("e"), F.lit(0)).cast("bigint").alias("emitted")
+        F.coalesce(F.sum("e"), F.lit(0)).cast("decimal(38,0)").alias("emitted")
     )
     # three one-row results become one row
     parts = mapped.unionByName(reduced, allowMissingColumns=True)
@@ -69,7 +70,7 @@ def cost_profile(df: DataFrame, s: Strategy, *, k: int = 1, key_volume: int = 0,
         (F.col("map_in") * k).alias("map_in_kb"),
         (F.col("map_out") * volume).alias("map_out_kb"),
         (F.col("q_sum") * volume).alias("red_in_kb"),
-        (F.col("emitted") * (2 * k + key_volume)).alias("red_out_kb"),
+        (F.col("emitted") * (2 * k + key_volume)).cast("decimal(38,0)").alias("red_out_kb"),
         "q_max",
         "q_sum",
         "reducers",
@@ -77,22 +78,18 @@ def cost_profile(df: DataFrame, s: Strategy, *, k: int = 1, key_volume: int = 0,
 
 
 def _emissions(codes: DataFrame, s: Strategy, unique: bool) -> DataFrame:
-    """``e`` per code pair: shared cells times record pairs, wide enough not to overflow."""
+    """``e`` per code pair: shared cells times record pairs, in exact decimals."""
     names = word_names(s.layout)
-    slices = strategy("auto", s.b).slices
     # always true; a branch without ``n`` would count the records a second time
     # instead of sharing the shuffle of the counts
-    counted = codes.where(F.col("n") > 0)
-    found = bitmap_pairs(slice_bitmaps(counted, [], names, slices), [], names, slices)
-    lo, hi = [f"lo{w}" for w in names], [f"hi{w}" for w in names]
-    shared = shared_cells([F.col(c) for c in lo], [F.col(c) for c in hi], s)
+    found = word_pairs(codes.where(F.col("n") > 0), s, count=None if unique else "n")
+    shared = shared_cells(*[[F.col(f"{side}{w}") for w in names] for side in ("lo", "hi")], s)
     if unique:
-        return found.select(shared.alias("e"))
-    for side, count in ((lo, "n_lo"), (hi, "n_hi")):
-        renamed = codes.withColumnsRenamed({**dict(zip(names, side)), "n": count})
-        found = found.join(renamed, side)
+        return found.select(shared.cast("decimal(38,0)").alias("e"))
     exact = [F.col(c).cast("decimal(19,0)") for c in ("n_lo", "n_hi")]
-    return found.select((exact[0] * exact[1] * shared.cast("decimal(10,0)")).alias("e"))
+    # 19 and 19 digits leave none for the third factor by type, but all do fit 38
+    product = (exact[0] * exact[1]).cast("decimal(38,0)")
+    return found.select((product * shared.cast("decimal(38,0)")).cast("decimal(38,0)").alias("e"))
 
 
 def cost_profiles(df: DataFrame, strategies: Iterable[Strategy], **options) -> DataFrame:

@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 from .functions import bits as fb
 from .functions.layout import section_masks
 from .operators.formatting import format_keys, format_pairs
-from .operators.groups import emits_histogram, group_sizes, groups, partition_sizes, size_histogram
+from .operators.groups import emits_histogram, group_sizes, groups, size_histogram
 from .operators.keys import keyed
 from .operators.pairs import pairs
-from .operators.records import code_counts, record_pair_counts, record_pairs
+from .operators.records import HOT_ROWS, code_counts, record_pair_counts, record_pairs
 from .plans.cost import cost_profile
 from .plans.strategy import Strategy, strategy
-from .plans.timing import TIMING_SCHEMA, timing_profile, timing_summary
 from .session import shared_folder
 from .sources.encoders import bit_width, fold_signs, position_bitmap, sign_text, text_digests
 from .sources.reports import append_report, read_report
@@ -35,8 +34,6 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 DIMS = 64          # components of an embedding
-SHIP_MONTHS = 120  # calendar months from January of SHIP_START on
-SHIP_START = 1992
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +58,36 @@ def months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumnRenamed("o_custkey", "id")
 
 
+def ship_window(lines: DataFrame) -> tuple[int, int]:
+    """First month of shipping, counted from year 0, and how many there are, an even number.
+
+    One aggregated row, by a scan of one column while the query is built.
+    """
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
+    low, high = lines.agg(F.min(month), F.max(month)).first()
+    if low is None:
+        return 0, 2
+    months = high - low + 1
+    return low, months + months % 2
+
+
+def shipping_coded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Shipping months of every order as a bitmap, and its width."""
+    lines = table(spark, sf_dir, "lineitem")
+    low, months = ship_window(lines)
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1 - low
+    return position_bitmap(lines, "l_orderkey", month, months).withColumnRenamed("l_orderkey", "id"), months
+
+
 def shipping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    month = (F.year("l_shipdate") - SHIP_START) * 12 + F.month("l_shipdate") - 1
-    df = position_bitmap(table(spark, sf_dir, "lineitem"), "l_orderkey", month, SHIP_MONTHS)
-    return df.withColumnRenamed("l_orderkey", "id")
+    return shipping_coded(spark, sf_dir)[0]
+
+
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight pooled signs, nine characters apart, in a text code of 72 characters."""
+    bits = fb.long_to_bits(fold_signs("embedding", DIMS, 8), 8)
+    df = table(spark, sf_dir, "embeddings")
+    return df.select(F.col("vec_id").alias("id"), F.regexp_replace(bits, "(.)", "$100000000").alias("x"))
 
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +102,7 @@ def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "conversations")
-    return df.select((F.col("conv_id") * 65536 + F.col("turn")).alias("id"),
-                     F.col("conv_id").alias("x"), "role")
+    return df.select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("conv_id").alias("x"), "role")
 
 
 def even_width(df: DataFrame) -> int:
@@ -102,12 +124,15 @@ def _fold_sql(b: int) -> str:
 _SIGNS = " || ".join(
     f"CASE WHEN embedding[{i + 1}] > 0 THEN '1' ELSE '0' END" for i in range(DIMS)
 )
-_SHIP_POSITION = f"((year(l_shipdate) - {SHIP_START}) * 12 + month(l_shipdate) - 1)"
+_SHIP_MONTH = "(year(l_shipdate) * 12 + month(l_shipdate) - 1)"
+_SHIP_WINDOW = (f"(SELECT low, n + n % 2 AS b FROM (SELECT min({_SHIP_MONTH}) AS low, "
+                f"max({_SHIP_MONTH}) - min({_SHIP_MONTH}) + 1 AS n FROM lineitem))")
 
 CODE_SQL = {
     "emb8": _fold_sql(8),
     "emb16": _fold_sql(16),
     "emb64": f"SELECT vec_id AS id, {_SIGNS} AS x FROM embeddings",
+    "emb72": f"SELECT id, regexp_replace(lpad(bin(x), 8, '0'), '(.)', '\\100000000', 'g') AS x FROM ({_fold_sql(8)})",
     "months": (
         "SELECT o_custkey AS id, bit_or(1::BIGINT << (month(o_orderdate) - 1)::INT) AS x "
         "FROM orders GROUP BY o_custkey"
@@ -115,31 +140,36 @@ CODE_SQL = {
     "shipping": (
         "SELECT l_orderkey AS id, string_agg(CASE WHEN seen THEN '1' ELSE '0' END, '' "
         "ORDER BY pos DESC) AS x FROM (SELECT l_orderkey, pos, "
-        f"bool_or(pos = {_SHIP_POSITION}) AS seen FROM lineitem, range({SHIP_MONTHS}) t(pos) "
-        "GROUP BY l_orderkey, pos) GROUP BY l_orderkey"
+        f"bool_or(pos = {_SHIP_MONTH} - low) AS seen FROM lineitem, (SELECT low, unnest(range(b)) AS pos "
+        f"FROM {_SHIP_WINDOW}) GROUP BY l_orderkey, pos) GROUP BY l_orderkey"
     ),
     "digest": (
         "SELECT doc_id AS id, ('0x' || substr(md5(text), 1, 4))::BIGINT AS x "
         "FROM documents WHERE text IS NOT NULL"
     ),
     "orders": "SELECT o_orderkey AS id, o_orderkey AS x FROM orders",
-    "turns": "SELECT conv_id * 65536 + turn AS id, conv_id AS x, role FROM conversations",
+    "turns": "SELECT concat_ws('/', conv_id, turn) AS id, conv_id AS x, role FROM conversations",
 }
 CODES: dict[str, Query] = {
     "emb8": partial(emb, 8),
     "emb16": partial(emb, 16),
     "emb64": emb_text,
+    "emb72": spread,
     "months": months,
     "shipping": shipping,
     "digest": digest,
     "orders": order_keys,
     "turns": turns,
 }
-WIDTH = {"emb8": 8, "emb16": 16, "emb64": 64, "months": 12, "shipping": SHIP_MONTHS, "digest": 16}
+WIDTH = {"emb8": 8, "emb16": 16, "emb64": 64, "emb72": 72, "months": 12, "digest": 16}
 
 
-def width(name: str, df: DataFrame) -> int:
-    return WIDTH.get(name) or even_width(df)
+def coded(code: str, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """A code table and the width of its codes."""
+    if code == "shipping":
+        return shipping_coded(spark, sf_dir)
+    df = CODES[code](spark, sf_dir)
+    return df, WIDTH.get(code) or even_width(df)
 
 
 def register(name: str, query: Query, sql: str | None = None) -> None:
@@ -204,7 +234,7 @@ NEIGHBOURS = "{a}.x < {z}.x AND bit_count(xor({a}.x, {z}.x)) = 1"
 
 def pair_sql(code: str, columns: str = "l.x AS x_lo, r.x AS x_hi") -> str:
     on = NEIGHBOURS.format(a="l", z="r")
-    if code in ("emb64", "shipping"):
+    if code in ("emb64", "emb72", "shipping"):
         on = "l.x < r.x AND hamming(l.x, r.x) = 1"
     return (
         f"WITH c AS ({CODE_SQL[code]}), d AS (SELECT DISTINCT x FROM c) "
@@ -244,8 +274,7 @@ def strategies(b: int) -> list[Strategy]:
 # -- pairs --------------------------------------------------------------------
 
 def _pairs(code: str, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = CODES[code](spark, sf_dir)
-    b = width(code, df)
+    df, b = coded(code, spark, sf_dir)
     params = parameters(name, b)
     params.pop("block_by", None)
     return pairs(df, b, name, clustered=code == "orders", **params)  # running numbers
@@ -254,15 +283,14 @@ def _pairs(code: str, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 for _code in ("emb8", "months", "orders", "shipping"):
     for _name in ("serial", "hashing", "group", "maxparallel", "multisection"):
         register(f"pairs_{_name}_{_code}", partial(_pairs, _code, _name), pair_sql(_code))
-for _code in ("emb8", "emb16", "emb64", "months", "orders", "digest", "shipping"):
+for _code in ("emb8", "emb16", "emb72", "months", "orders", "digest", "shipping"):
     register(f"pairs_auto_{_code}", partial(_pairs, _code, "auto"), pair_sql(_code))
 for _code in ("emb16", "digest"):
     register(f"pairs_multisection_{_code}", partial(_pairs, _code, "multisection"), pair_sql(_code))
 
 
-def _raw(code: str, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = WIDTH[code]
-    df = pairs(CODES[code](spark, sf_dir), b, name, mode="raw", with_key=True, **parameters(name, b))
+def _raw(code: str, s: Strategy, spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = pairs(CODES[code](spark, sf_dir), s.b, s, mode="raw", with_key=True)
     return flat(df, "x_lo", "x_hi")
 
 
@@ -284,28 +312,33 @@ def _emits_histogram(code: str, s: Strategy, spark: SparkSession, sf_dir: str) -
     return emits_histogram(CODES[code](spark, sf_dir), s)
 
 
-def _cost(code: str, s: Strategy, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_big(cost_profile(CODES[code](spark, sf_dir), s, k=1))
+def _cost(code: str, s: Strategy, spark: SparkSession, sf_dir: str, **volumes: int) -> DataFrame:
+    return _as_big(cost_profile(CODES[code](spark, sf_dir), s, **volumes))
 
 
 def _as_big(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("bigint") for c in ("param", "b", "k")})
+    """Counts as BIGINT; the exact decimal, which BIGINT may not hold, as text."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in ("param", "b", "k")}
+                          | {"red_out_kb": F.col("red_out_kb").cast("string")})
 
 
-def _cost_sql(code: str, s: Strategy) -> str:
+def _cost_sql(code: str, s: Strategy, k: int = 1, key_volume: int = 0) -> str:
     clause, key = key_sql(code, s)
+    return _profile_sql(clause, key, f"'{s.name}'", f"{s.param}::BIGINT", f"{s.b}::BIGINT", k, key_volume)
+
+
+def _profile_sql(clause: str, key: list[str], name: str, param: str, b: str, k: int = 1, key_volume: int = 0,
+                 near: str = NEIGHBOURS.format(a="l", z="r")) -> str:
     same = " AND ".join(f"l.{c} = r.{c}" for c in key)
-    on = NEIGHBOURS.format(a="l", z="r")
     by = ", ".join(key)
     return f"""{clause},
         q AS (SELECT {by}, count(*) AS q FROM k GROUP BY {by}),
-        e AS (SELECT count(*) AS emitted FROM k l JOIN k r ON {same} AND {on})
-        SELECT '{s.name}' AS strategy, {s.param}::BIGINT AS param, {s.b}::BIGINT AS b,
-               1::BIGINT AS k,
+        e AS (SELECT count(*) AS emitted FROM k l JOIN k r ON {same} AND {near})
+        SELECT {name} AS strategy, {param} AS param, {b} AS b, {k}::BIGINT AS k,
                (SELECT count(*) FROM c) AS map_in, (SELECT count(*) FROM k) AS map_out,
-               (SELECT count(*) FROM c) AS map_in_kb, (SELECT count(*) FROM k) AS map_out_kb,
-               (SELECT sum(q)::BIGINT FROM q) AS red_in_kb,
-               (SELECT 2 * emitted FROM e) AS red_out_kb,
+               (SELECT {k} * count(*) FROM c) AS map_in_kb, (SELECT {k + key_volume} * count(*) FROM k) AS map_out_kb,
+               (SELECT ({k + key_volume} * sum(q))::BIGINT FROM q) AS red_in_kb,
+               (SELECT ({2 * k + key_volume} * emitted)::DECIMAL(38,0)::VARCHAR FROM e) AS red_out_kb,
                (SELECT max(q) FROM q) AS q_max, (SELECT sum(q)::BIGINT FROM q) AS q_sum,
                (SELECT count(*) FROM q) AS reducers"""
 
@@ -336,7 +369,74 @@ for _code in ("emb8", "months"):
         register(f"cost_{_suffix}", partial(_cost, _code, _s), _cost_sql(_code, _s))
         if not _s.exactly_once:
             _cols = ", ".join(f"l.{c} AS {c}" for c in _key) + ", l.x AS x_lo, r.x AS x_hi"
-            register(f"pairs_raw_{_suffix}", partial(_raw, _code, _s.name), raw_sql(_code, _s, _cols))
+            register(f"pairs_raw_{_suffix}", partial(_raw, _code, _s), raw_sql(_code, _s, _cols))
+
+
+# other parameters than the usual ones, and volumes of keys and records
+_MORE = [strategy("hashing", 12, J=2, block_by="mod"), strategy("hashing", 12, J=3, block_by="mod"),
+         strategy("group", 12, u=1), strategy("group", 12, u=3), strategy("multisection", 12, section=5)]
+for _s in _MORE:
+    _clause, _key = key_sql("months", _s)
+    _suffix = f"{_s.name}{_s.param}_months"
+    register(f"keys_{_suffix}", partial(_keys, "months", _s), f"{_clause} SELECT {', '.join(_key)}, id, x FROM k")
+    register(f"cost_{_suffix}", partial(_cost, "months", _s, k=3, key_volume=2), _cost_sql("months", _s, 3, 2))
+    _cols = ", ".join(f"l.{c} AS {c}" for c in _key) + ", l.x AS x_lo, r.x AS x_hi"
+    register(f"pairs_raw_{_suffix}", partial(_raw, "months", _s), raw_sql("months", _s, _cols))
+
+
+# -- codes of more than 63 bits: text, and a width that follows from the table ------------
+
+WIDE = {"serial": {}, "group": {"u": 1}, "maxparallel": {}, "multisection": {"section": 4}}
+
+
+def wide_key_sql(name: str) -> tuple[str, list[str]]:
+    """``key_sql`` for shipping months."""
+    start = f"WITH w AS {_SHIP_WINDOW}, c AS (SELECT id, x, b FROM ({CODE_SQL['shipping']}), w),"
+    weight = "length(replace({0}, '0', ''))::BIGINT"
+    if name == "serial":
+        return f"{start} k AS (SELECT 1::BIGINT AS one, id, x FROM c)", ["one"]
+    if name == "group":
+        left, right = weight.format("substr(x, 1, b // 2)"), weight.format("substr(x, b // 2 + 1)")
+        cell = "CASE WHEN {0} = b // 2 THEN {0} ELSE {0} + 1 END"
+        return f"""{start} v AS (SELECT id, x, b, {left} AS wl, {right} AS wr FROM c),
+            h AS (SELECT id, x, wl, wr, {cell.format('wl')} AS i, {cell.format('wr')} AS j FROM v),
+            k AS (SELECT i AS gi, j AS gj, id, x FROM h
+                  UNION ALL SELECT i - 1, j, id, x FROM h WHERE i > 1 AND wl = i - 1
+                  UNION ALL SELECT i, j - 1, id, x FROM h WHERE j > 1 AND wr = j - 1)""", ["gi", "gj"]
+    if name == "maxparallel":
+        return f"""{start} k AS (SELECT p, substr(x, 1, b - p - 1) || '0' || substr(x, b - p + 1) AS masked, id, x
+            FROM (SELECT *, unnest(range(b)) AS p FROM c))""", ["p", "masked"]
+    return f"""{start} k AS (SELECT m, substr(x, 1, b * m // 4) || repeat('0', b * (m + 1) // 4 - b * m // 4)
+            || substr(x, b * (m + 1) // 4 + 1) AS rest, id, x
+            FROM (SELECT *, unnest(range(4::BIGINT)) AS m FROM c))""", ["m", "rest"]
+
+
+def _wide(make: Callable[[DataFrame, Strategy], DataFrame], name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, b = shipping_coded(spark, sf_dir)
+    return make(df, strategy(name, b, **WIDE[name]))
+
+
+for _name in WIDE:
+    _clause, _key = wide_key_sql(_name)
+    _by = ", ".join(_key)
+    register(f"keys_{_name}_shipping", partial(_wide, lambda df, s: flat(keyed(df, s), "id", "x"), _name),
+             f"{_clause} SELECT {_by}, id, x FROM k")
+    register(f"group_sizes_{_name}_shipping", partial(_wide, lambda df, s: flat(group_sizes(df, s), "q"), _name),
+             f"{_clause} SELECT {_by}, count(*) AS q FROM k GROUP BY {_by}")
+    _near = "l.x < r.x AND hamming(l.x, r.x) = 1"
+    register(f"cost_{_name}_shipping", partial(_wide, lambda df, s: _as_big(cost_profile(df, s)), _name),
+             _profile_sql(_clause, _key, f"'{_name}'", f"{next(iter(WIDE[_name].values()), 0)}::BIGINT", "(SELECT b FROM w)", near=_near))
+    _same = " AND ".join(f"l.{c} = r.{c}" for c in _key)
+    register(f"pairs_raw_{_name}_shipping",
+             partial(_wide, lambda df, s: flat(pairs(df, s.b, s, mode="raw", with_key=True), "x_lo", "x_hi"), _name),
+             f"{_clause}, d AS (SELECT DISTINCT {_by}, x FROM k) SELECT {', '.join(f'l.{c} AS {c}' for c in _key)}, "
+             f"l.x AS x_lo, r.x AS x_hi FROM d l JOIN d r ON {_same} AND {_near}")
+register("groups_multisection_shipping", partial(_wide, lambda df, s: flat(
+    groups(df.withColumn("x", F.concat("x", F.lit("-"), "id")), strategy("multisection", s.b, section=s.b // 2))
+    .withColumn("members", F.concat_ws(",", "members")), "members"), "multisection"),
+    f"WITH w AS {_SHIP_WINDOW}, d AS (SELECT DISTINCT x, b FROM ({CODE_SQL['shipping']}), w), "
+    "k AS (SELECT m, substr(x, 1, 2 * m) || '00' || substr(x, 2 * m + 3) AS rest, x FROM (SELECT *, unnest(range(b // 2)) AS m FROM d)) "
+    "SELECT m, rest, string_agg(x, ',' ORDER BY x) AS members FROM k GROUP BY m, rest")
 
 
 def _cost_orders(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +462,7 @@ def _cost_orders_sql(name: str) -> str:
                (SELECT count(*) FROM c) AS map_in, (SELECT count(*) FROM k) AS map_out,
                (SELECT count(*) FROM c) AS map_in_kb, (SELECT count(*) FROM k) AS map_out_kb,
                (SELECT sum(q)::BIGINT FROM q) AS red_in_kb,
-               (SELECT 2 * emitted FROM e) AS red_out_kb,
+               (SELECT (2 * emitted)::DECIMAL(38,0)::VARCHAR FROM e) AS red_out_kb,
                (SELECT max(q) FROM q) AS q_max, (SELECT sum(q)::BIGINT FROM q) AS q_sum,
                (SELECT count(*) FROM q) AS reducers"""
 
@@ -398,14 +498,14 @@ def _record_pair_counts(code: str, spark: SparkSession, sf_dir: str) -> DataFram
     return record_pair_counts(CODES[code](spark, sf_dir), WIDTH[code])
 
 
-def _record_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _record_pairs(hot_rows: int, spark: SparkSession, sf_dir: str) -> DataFrame:
     df = turns(spark, sf_dir)
-    return record_pairs(df, bit_width(df, "x"), "multisection", section=2)
+    return record_pairs(df, bit_width(df, "x"), "multisection", section=2, hot_rows=hot_rows)
 
 
-def _record_pairs_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _record_pairs_payload(hot_rows: int, spark: SparkSession, sf_dir: str) -> DataFrame:
     df = turns(spark, sf_dir)
-    return record_pairs(df, bit_width(df, "x"), "maxparallel", payload=["role"])
+    return record_pairs(df, bit_width(df, "x"), "maxparallel", payload=["role"], hot_rows=hot_rows)
 
 
 def _code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,12 +524,13 @@ _RECORD_SQL = (
     f"WITH c AS ({CODE_SQL['turns']}) SELECT l.id AS id_a, r.id AS id_b, l.x AS x_a, r.x AS x_b"
     "{more} FROM c l JOIN c r ON " + NEIGHBOURS.format(a="l", z="r")
 )
-register("record_pairs_turns", _record_pairs, _RECORD_SQL.format(more=""))
-register(
-    "record_pairs_payload_turns",
-    _record_pairs_payload,
-    _RECORD_SQL.format(more=", l.role AS role_a, r.role AS role_b"),
-)
+for _suffix, _rows in (("", HOT_ROWS), ("_split", 2)):  # most conversations have more than two turns
+    register(f"record_pairs_turns{_suffix}", partial(_record_pairs, _rows), _RECORD_SQL.format(more=""))
+    register(
+        f"record_pairs_payload_turns{_suffix}",
+        partial(_record_pairs_payload, _rows),
+        _RECORD_SQL.format(more=", l.role AS role_a, r.role AS role_b"),
+    )
 register(
     "code_counts_months",
     _code_counts,
@@ -440,20 +541,16 @@ register(
 # -- sources, scalar functions and text ---------------------------------------------
 
 def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All codes as wide as the order keys, and whether an order has the code."""
-    df = order_keys(spark, sf_dir)
-    every = bit_universe(spark, bit_width(df, "x"))
-    used = df.select("x", F.lit(True).alias("used"))
-    return every.join(used, "x", "left").select("id", "bits", F.coalesce("used", F.lit(False)).alias("used"))
+    """The customers of every possible month code: 2^12 codes, whatever the tables hold."""
+    used = months(spark, sf_dir).select("x", F.col("id").alias("customer"))
+    return bit_universe(spark, 12).join(used, "x", "left").select("bits", F.coalesce("customer", F.lit(-1)).alias("customer"))
 
 
 register(
     "bit_universe",
     _universe,
-    "WITH w AS (SELECT length(bin(max(o_orderkey))) AS b FROM orders), "
-    "u AS (SELECT b, unnest(range(1::BIGINT << b::INT)) AS id FROM w) "
-    "SELECT id, lpad(bin(id), b::INT, '0') AS bits, o_orderkey IS NOT NULL AS used "
-    "FROM u LEFT JOIN orders ON o_orderkey = id",
+    f"WITH c AS ({CODE_SQL['months']}), u AS (SELECT unnest(range(4096::BIGINT)) AS u) "
+    "SELECT lpad(bin(u), 12, '0') AS bits, coalesce(id, -1) AS customer FROM u LEFT JOIN c ON x = u",
 )
 
 
@@ -560,7 +657,7 @@ def _codes(code: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return CODES[code](spark, sf_dir).select("id", "x")
 
 
-for _code in ("emb8", "emb64", "months", "shipping", "digest"):
+for _code in ("emb8", "emb64", "emb72", "months", "shipping", "digest"):
     register(f"codes_{_code}", partial(_codes, _code), CODE_SQL[_code])
 
 
@@ -597,27 +694,3 @@ for _s in strategies(WIDTH["months"]):
         partial(_formatted_keys, _s),
         f"{_clause} SELECT concat_ws(',', {', '.join(_key)}) AS key, id FROM k",
     )
-
-
-# -- layout and timing: values depend on the run -------------------------------------
-
-def _placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per block when order keys are spread over four partitions by value."""
-    return partition_sizes(order_keys(spark, sf_dir).repartition(4, "x"))
-
-
-def _timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timing_profile(months(spark, sf_dir), strategies(12), reps=1)
-
-
-def _timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two timed runs on the order keys, appended to a report and summarised."""
-    df = order_keys(spark, sf_dir)
-    path = scratch(spark, "timing")
-    append_report(timing_profile(df, [strategy("auto", even_width(df))], reps=2), path)
-    return timing_summary(read_report(spark, path, TIMING_SCHEMA))
-
-
-register("partition_sizes_orders", _placement)
-register("timing_profile", _timing)
-register("timing_summary", _timing_summary)

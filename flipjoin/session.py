@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -16,8 +15,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # small partitions are joined by hash instead of by sort
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
-    # min and max of a column come from the file footers
-    "spark.sql.parquet.aggregatePushdown": "true",
+    # many small partitions, which adaptive execution merges to a good size
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4096",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -38,13 +37,9 @@ def shuffle_partitions(rows: int, replication: int, words: int = 1) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """A folder every executor can reach.
 
-    Only a local session may go without it.
+    It is the one named by ``spark.checkpoint.dir``, otherwise the session's warehouse.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="flipjoin-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")

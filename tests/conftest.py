@@ -19,7 +19,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "6g")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")) + "/")
     )
-    session = configure(builder).getOrCreate()
+    session = configure(builder).config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "8").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -1,5 +1,7 @@
 """Plans stay inside the JVM, compare no two rows of a cell, and read one column."""
 
+import re
+
 import pytest
 from conftest import as_pairs, brute
 
@@ -56,8 +58,28 @@ def test_costs_scan_once(table):
     assert "CartesianProduct" not in final and "NestedLoop" not in final
 
 
+@pytest.mark.parametrize("name,params", KINDS)
+@pytest.mark.parametrize("b", [12, 63, 120])
+def test_each_code_is_sent_once_per_six_bits(spark, name, params, b):
+    """However many cells a strategy sends a code to."""
+    if name == "group":
+        params = {"u": 1} if b % 2 == 0 else None
+    if params is None:
+        return
+    x = "id" if b <= 63 else f"lpad(conv(id, 10, 2), {b}, '0')"
+    df = spark.range(1000).selectExpr(f"{x} AS x")
+    sliced = plan(pairs(df, b, name, unique=True, mode="raw", **params))
+    numbers = re.findall(r"Generate explode\(\[([\d,]+)\]\)", sliced)
+    before_shuffle = numbers[-1].split(",")  # the lowest explode of the plan
+    assert len(before_shuffle) == -(-b // 6)
+    assert sliced.count("Exchange hashpartitioning") == 1
+
+
 def test_record_plans(table):
     counts = record_pair_counts(table, 12)
+    assert "Join" not in plan(counts) and plan(counts).count("Exchange hashpartitioning") == 2
+    costs = plan(cost_profile(table, strategy("hashing", 12, J=3)))
+    assert "Join" not in costs
     counts.collect()
     final = plan(counts).split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1

@@ -5,6 +5,7 @@ from conftest import codes_frame
 
 from flipjoin import (code_counts, emits_histogram, group_sizes, groups, keyed, partition_sizes,
                       record_pair_counts, record_pairs, size_histogram, strategy)
+from flipjoin.operators.records import record_sides
 from pyspark.sql import functions as F
 
 VALUES = [0, 0, 0, 0, 0, 0, 1, 1, 1, 2, 7, 7, 40]
@@ -26,9 +27,32 @@ def test_record_pairs(spark, hot_rows):
     assert Counter(map(tuple, got)) == brute_records(VALUES)
 
 
-def test_hot_codes_are_split(spark):
-    plan = record_pairs(codes_frame(spark, VALUES), 6, hot_rows=2)._jdf.queryExecution().toString()
-    assert "_salt" in plan
+def test_no_join_key_gathers_more_than_a_part(spark):
+    """Both sides of the last join: ten neighbours of one code, 1,000 records each."""
+    hub = [0] * 1000 + [1 << p for p in range(10) for _ in range(1000)]
+    left, right, on = record_sides(codes_frame(spark, hub), strategy("auto", 10), "x", "id", [], "distinct", 100)
+    for side in (left, right):
+        sizes = [r["count"] for r in side.groupBy(*on).count().collect()]
+        assert len(sizes) == 10 * 10 * 10 and max(sizes) < 200
+    assert left.join(right, on).count() == 10 * 1000 * 1000
+
+
+def test_one_plan_at_every_size(spark):
+    small, large = (record_pairs(codes_frame(spark, VALUES * n), 6, hot_rows=5)._jdf.queryExecution().analyzed().toString()
+                    for n in (1, 50))
+    shape = lambda plan: [line.strip(" :+-").split(" ")[0] for line in plan.splitlines()]
+    assert shape(small) == shape(large)
+
+
+def test_counts_beyond_bigint(spark):
+    """Two codes of 4 * 10^9 records each: their pairs do not fit a BIGINT once weighted."""
+    from flipjoin.operators.pairs import word_pairs
+    from flipjoin.plans.cost import _emissions
+
+    counted = spark.createDataFrame([(0, 4 * 10**9), (1, 4 * 10**9)], "_w0 bigint, n bigint")
+    assert _emissions(counted, strategy("hashing", 4, J=3), False).first().e == 16 * 10**18
+    row = word_pairs(counted, strategy("auto", 4), count="n").first()
+    assert (row.n_lo, row.n_hi) == (4 * 10**9, 4 * 10**9)
 
 
 def test_record_pairs_with_payload(spark):
@@ -119,6 +143,15 @@ def test_groups(spark):
             groups(df, s)
 
 
+def test_groups_of_padded_text(spark):
+    """What follows the significant bits is no part of a code."""
+    df = codes_frame(spark, [f"0001{'x' * n}" for n in range(300)] + ["0011", "0011 "], text=True)
+    for r in groups(df, strategy("multisection", 4, section=2)).collect():
+        assert set(r.members) <= {1, 3} and len(r.members) == len(set(r.members))
+    wide = codes_frame(spark, ["1" * 70 + tail for tail in ("", "00", "zz")], text=True)
+    assert {tuple(r.members) for r in groups(wide, strategy("maxparallel", 70)).collect()} == {("1" * 70,)}
+
+
 def test_placement_blocks_are_partitions(spark):
     """The block by placement is the partition that a repartition by value gives."""
     from flipjoin.operators.keys import block_of

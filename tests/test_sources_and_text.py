@@ -1,5 +1,4 @@
 import os
-from types import SimpleNamespace
 
 import pytest
 from conftest import codes_frame
@@ -178,17 +177,15 @@ def test_timing(spark, universe):
 
 
 def test_shared_folder(spark):
-    """The folder is the one the session names; only a local session may have none."""
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
     class Session:
-        def __init__(self, master):
-            self.conf = {}
-            self.sparkContext = SimpleNamespace(master=master)
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return {"spark.sql.warehouse.dir": "hdfs://warehouse/"}.get(name, default)
 
-    assert os.path.isdir(shared_folder(Session("local[2]")))
-    with pytest.raises(ValueError):
-        shared_folder(Session("yarn"))
+    assert shared_folder(Session()) == "hdfs://warehouse"
 
 
 def test_shuffle_partitions():
