@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Iterator
@@ -32,17 +31,8 @@ def only_text(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one in ``spark.checkpoint.dir``.  Only a session that runs in one
-    process may do without: there it is a new temporary folder.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or process_state().get("folder")
-    if folder is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = process_state()["folder"] = tempfile.mkdtemp(prefix="llm-steps-")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return folder.rstrip("/")
 
 
