@@ -152,25 +152,31 @@ def exact_duplicates(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
     copy, exactly one stays.  An empty table gives an empty result.  Columns of ``docs``
     that carry one of the four names are replaced.
     """
-    rows = _with_keys(docs).withColumn("__first", F.row_number().over(
-        Window.partitionBy("text_sha256", "doc_id", "__n").orderBy("__n")) == 1)
-    joined = rows.join(copy_groups(docs, limit), "text_sha256")
-    return joined.withColumn("kept", _is_best() & F.col("__first")).drop("__n", "keep_n", "__first")
+    rows = _with_keys(docs.drop("keep_id", "group_size", "kept", "text_sha256")).withColumn(
+        "__first", F.row_number().over(Window.partitionBy("__sha", "doc_id", "__n").orderBy("__n")) == 1)
+    joined = rows.join(_groups(docs, limit), "__sha")
+    kept = docs.drop("keep_id", "group_size", "kept", "text_sha256").columns
+    return joined.select(*kept, F.col("__keep_id").alias("keep_id"), F.col("__size").alias("group_size"),
+                         (_is_best() & F.col("__first")).alias("kept"), F.col("__sha").alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
     """The rows that stay, with the columns of ``docs``; see exact_duplicates."""
-    joined = _with_keys(docs).join(copy_groups(docs, limit), "text_sha256").filter(_is_best())
-    return joined.dropDuplicates(["text_sha256", "doc_id"]).select(*docs.columns)
+    joined = _with_keys(docs).join(_groups(docs, limit), "__sha").filter(_is_best())
+    return joined.dropDuplicates(["__sha", "doc_id"]).select(*docs.columns)
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.drop("keep_id", "group_size", "kept", "text_sha256").withColumns({
-        "text_sha256": F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256),
+    return docs.withColumns({
+        "__sha": F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256),
         "__n": F.length(text).cast("long"),
     })
 
 
+def _groups(docs: DataFrame, limit: int) -> DataFrame:
+    return copy_groups(docs, limit).toDF("__sha", "__keep_n", "__keep_id", "__size")
+
+
 def _is_best():
-    return F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__n") == F.col("keep_n"))
+    return F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id")) & (F.col("__n") == F.col("__keep_n"))

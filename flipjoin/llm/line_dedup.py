@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_text, row_key
+from .common import only_text, row_key, stored
 
 #: Units shorter than this after normalising always stay.
 MIN_CHARS = 40
@@ -41,7 +41,9 @@ def duplicate_units(docs: DataFrame, unit: str = "line", min_chars: int = MIN_CH
     found = units(docs, unit).filter(F.length("norm") >= min_chars).select(
         "row_key", "pos", F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row_key", "pos").alias("at"),
         F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest"))
-    first = found.groupBy("digest").agg(F.min("at").alias("first"))
+    first = found.groupBy("digest").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Stored, so that both sides of the join are dealt for it alone and a hot one can be split.
+    first = stored(first, "first-units")
     return found.join(first, "digest").filter(F.col("at") > F.col("first")).select("row_key", "pos").distinct()
 
 

@@ -43,13 +43,14 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     """A row of damped, length-normalised term counts for each text."""
     n = len(texts)
     out = np.zeros((n, TERMS), np.float32)
-    data = np.frombuffer(b"\0".join(texts) + b"\0\0\0", np.uint8).astype(np.uint32)
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, n)
+    # Two zeros after each text: a trigram that starts in it sees nothing of the next.
+    data = np.frombuffer(b"\0\0".join(texts) + b"\0\0", np.uint8).astype(np.uint32)
+    sizes = np.fromiter((len(t) for t in texts), np.int64, n)
     owner = np.repeat(np.arange(n), sizes)
+    at = np.arange(len(owner)) + 2 * owner
     cls = _classes()[data]
-    size = len(owner)
-    tri = ((data[:size] << 16 | data[1:size + 1] << 8 | data[2:size + 2]) * np.uint32(2654435761)) >> np.uint32(21)
-    shape = (cls[:size] * CLASSES + cls[1:size + 1]) * CLASSES + cls[2:size + 2]
+    tri = ((data[at] << 16 | data[at + 1] << 8 | data[at + 2]) * np.uint32(2654435761)) >> np.uint32(21)
+    shape = (cls[at] * CLASSES + cls[at + 1]) * CLASSES + cls[at + 2]
     out[:, :TRIGRAMS] = np.bincount(owner * TRIGRAMS + tri, minlength=n * TRIGRAMS).reshape(n, -1)
     out[:, TRIGRAMS:TRIGRAMS + CLASSES**3] = np.bincount(owner * CLASSES**3 + shape, minlength=n * CLASSES**3).reshape(n, -1)
     words = Words(texts)
@@ -71,8 +72,9 @@ class Space:
     labels: np.ndarray
 
     def project(self, terms: np.ndarray) -> np.ndarray:
-        x = ((terms - self.centre) * self.weight) @ self.axes
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        """Unit vectors; in doubles, so that the size of a block does not show in a score."""
+        x = ((terms.astype(np.float64) - self.centre) * self.weight) @ self.axes
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
 
     def score(self, terms: np.ndarray) -> np.ndarray:
         if not len(self.labels):
@@ -96,7 +98,7 @@ def fit(terms: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) ->
     for _ in range(3):
         q = np.linalg.qr(x @ (x.T @ q))[0]
     axes = np.linalg.svd(q.T @ x, full_matrices=False)[2][:dimensions].T
-    space = Space(centre, weight, np.ascontiguousarray(axes, np.float32), np.zeros((0, 1)), labels.astype(np.float64))
+    space = Space(centre, weight, np.ascontiguousarray(axes, np.float64), np.zeros((0, 1)), labels.astype(np.float64))
     space.vectors = space.project(terms)
     return space
 
