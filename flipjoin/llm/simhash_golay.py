@@ -233,7 +233,10 @@ def without_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     Rows that repeat this id and its text leave one; components without any id keep
     one row for each different text.
     """
-    found = near_duplicates(docs, width)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    def known(c: str):
+        return F.coalesce(F.col(c).cast("long"), F.lit(-2**63))  # a null id is an id as well
+
+    found = near_duplicates(docs, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = found.select(known("doc_id").alias("__id")).distinct()
+    kept = docs.withColumn("__id", known("doc_id")).join(keep, "__id", "left_semi")
+    return kept.dropDuplicates(["__id", "text"]).select(*docs.columns)

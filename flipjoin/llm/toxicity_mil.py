@@ -109,13 +109,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
         for batch in batches:
             for doc_id, y, text in zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), text_bytes(batch.column("text"))):
                 s = Sentences([text])
-                # Of a sentence each word once is as good: it is judged by what it has.
+                # Each word once a sentence, sent as steps: every sentence has a word, so steps are small.
                 pairs = np.unique(s.sentence.astype(np.int64) << WEIGHT_BITS | s.slot)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([y], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], names=["doc_id", "y", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([y], pa.int32()), pa.array([np.diff(pairs, prepend=0).astype(np.uint32).tobytes()], pa.binary())], names=["doc_id", "y", "pairs"])
 
     sample = labelled_sample(docs, labels, "toxic", per_label, MOD, HELD_OUT).mapInArrow(run, "doc_id long, y int, pairs binary")
     rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["pairs"]))
-    return train(*bags([np.frombuffer(r["pairs"], np.int64) for r in rows]), np.array([r["y"] for r in rows], np.int64))
+    return train(*bags([np.cumsum(np.frombuffer(r["pairs"], np.uint32), dtype=np.int64) for r in rows]), np.array([r["y"] for r in rows], np.int64))
 
 
 def bags(pairs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
