@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         step = stored(best.select(F.col("a").alias("node"), F.least(order(F.col("a")), F.col("other"))["node"].alias("label")), "labels")
         left, right = (step.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
         maps.append(step)
-        todo = stored(todo.join(left, "a").join(right, "b").filter("la <> lb")
-                      .select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
+        done, todo = todo, stored(todo.join(left, "a").join(right, "b").filter("la <> lb")
+                                  .select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
+        discard(done)
     if not maps:
         return todo.select(F.col("a").alias("node"), F.col("b").alias("label"))
     out = maps[-1]
