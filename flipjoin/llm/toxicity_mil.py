@@ -25,6 +25,8 @@ PER_LABEL = 2000
 MOD, HELD_OUT = 5, 0
 #: Lengths in bytes of the beginnings of a word that count as well.
 PREFIXES = (4, 5, 6)
+#: A word counts if one of so many sampled documents has it, and two at least.
+RARE = 250
 #: 2^18 weights: the size of what is broadcast.
 WEIGHT_BITS = 18
 
@@ -58,8 +60,10 @@ class Sentences:
         for k in PREFIXES:
             long = end - start > k
             sides.append((start[long], start[long] + k, number[long]))
-        start, end, self.sentence = map(np.concatenate, zip(*sides))
-        self.slot = (ranges.hash(start, end) >> np.uint64(64 - WEIGHT_BITS)).astype(np.int32)
+        start, end, number = map(np.concatenate, zip(*sides))
+        # Each once a sentence: it is judged by what it has, not by how often.
+        self.pairs = np.unique(number << WEIGHT_BITS | (ranges.hash(start, end) >> np.uint64(64 - WEIGHT_BITS)).astype(np.int64))
+        self.sentence, self.slot = self.pairs >> WEIGHT_BITS, self.pairs & ((1 << WEIGHT_BITS) - 1)
         bounds = np.concatenate([[-1], stops, [len(data)]])
         self.start, self.end = bounds[at[new]] + 1, bounds[at[new] + 1]
         self.first_byte = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -80,26 +84,35 @@ def noisy_or(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)) if len(p) else np.zeros(n)
 
 
-def train(slot, sentence, text, y, rounds: int = 120, rate: float = 0.3, decay: float = 1e-5) -> Model:
-    """Gradient ascent (Adam) on the likelihood of document labels under the noisy-or."""
+def train(slot, sentence, text, y, rounds: int = 120, rate: float = 1.0, decay: float = 1e-3) -> Model:
+    """Gradient ascent with momentum on the likelihood of document labels under the noisy-or.
+
+    All weights share one step size, so words that many documents agree on lead and rare
+    ones, which explain their few documents too easily, stay small.  Weights are never
+    negative: a sentence offends by what it has, whatever else is said in it.
+    """
     n_texts, n_sentences = len(y), len(text)
-    model = Model(np.zeros(1 << WEIGHT_BITS), -4.0)
+    model = Model(np.zeros(1 << WEIGHT_BITS), -5.0)
     if not n_texts or not n_sentences:
         return Model(model.weights, -30.0)
-    m, v = np.zeros(len(model.weights) + 1), np.zeros(len(model.weights) + 1)
+    # What few documents have explains their labels too easily: it gets no weight.
+    documents = np.unique(slot * n_texts + text[sentence]) // n_texts
+    often = np.bincount(documents, minlength=1 << WEIGHT_BITS)[slot] >= max(2, n_texts // RARE)
+    slot, sentence = slot[often], sentence[often]
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    for t in range(1, rounds + 1):
+    speed, bias_speed = np.zeros(len(model.weights)), 0.0
+    for t in range(rounds):
         z = model.bias + np.bincount(sentence, model.weights[slot], minlength=n_sentences)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         doc = np.clip(noisy_or(p, text, n_texts), 1e-9, 1 - 1e-9)
         # d log L / d z of a sentence: p (1 - P) / P in a toxic document, -p in a clean one.
         g = share[text] * np.where(y[text] == 1, p * (1 - doc[text]) / doc[text], -p)
-        grad = np.append(np.bincount(slot, g[sentence], minlength=len(model.weights)) - decay * model.weights, g.sum())
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad**2 - v)
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
-        model.weights += step[:-1]
-        model.bias += 0.2 * step[-1]
+        grad = np.bincount(slot, g[sentence], minlength=len(model.weights))
+        scale = rate / (np.abs(grad).max() + 1e-4)
+        speed = 0.8 * speed + 0.2 * scale * (grad - decay * 0.01 * model.weights)
+        bias_speed = 0.8 * bias_speed + 0.2 * np.clip(scale * g.sum(), -0.3, 0.3)
+        model.weights = np.maximum(model.weights + speed, 0)
+        model.bias += bias_speed
     return model
 
 
@@ -108,9 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     def run(batches):
         for batch in batches:
             for doc_id, y, text in zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), text_bytes(batch.column("text"))):
-                s = Sentences([text])
-                # Each word once a sentence, sent as steps: every sentence has a word, so steps are small.
-                pairs = np.unique(s.sentence.astype(np.int64) << WEIGHT_BITS | s.slot)
+                pairs = Sentences([text]).pairs  # sent as steps: every sentence has a word, so steps are small
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([y], pa.int32()), pa.array([np.diff(pairs, prepend=0).astype(np.uint32).tobytes()], pa.binary())], names=["doc_id", "y", "pairs"])
 
     sample = labelled_sample(docs, labels, "toxic", per_label, MOD, HELD_OUT).mapInArrow(run, "doc_id long, y int, pairs binary")
