@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_text, row_key, stored, text_bytes
+from .common import discard, only_text, row_key, stored, text_bytes
 from .numhash import Ranges, mix, text_groups
 
 LENGTH = 200
@@ -214,14 +214,18 @@ def _windows(length: int):
 
 
 def repeated_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """row_key, start, size: runs of suffixes whose first ``length`` bytes occur again.
+    """row_key, start, size: runs of suffixes whose first ``length`` bytes occur again, stored.
 
     ``docs`` has row_key and text.  Rows that share a row_key count as so many texts.
     """
     found = anchors(docs, length)
-    by_stretch = found.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "place")).alias("one"))
-    grams = by_stretch.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("n > 1")
-    digits = stored(by_stretch.join(grams.drop("n"), "gram").select(
+    # First digit.  Both sides of the join are then dealt for it alone, so a hot gram can be split.
+    grams = stored(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
+    again = stored(found.join(grams, "gram", "left_semi"), "anchors")
+    # Second digit.
+    by_stretch = again.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "place")).alias("one"))
+    kinds = by_stretch.groupBy("gram").agg(F.count("*").alias("kinds"))
+    digits = stored(by_stretch.join(kinds, "gram").select(
         "gram", "stretch", "kinds", (F.col("n") > 1).alias("many"), "one"), "digits")
     # Stretches to be sorted by windows: of grams with several, each once.
     parts = F.ceil(F.col("kinds") / PART).cast("int")
@@ -237,9 +241,11 @@ def repeated_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     split = windows.filter("key <> 0")
     counts = split.groupBy("key").agg((F.count("*") > 1).alias("again")).filter("again").select("key")
     wide = split.filter("not many").join(counts, "key").select("row_key", "start", F.lit(1).cast("long").alias("size"))
-    whole = found.join(digits.filter("many").select("gram", "stretch"), ["gram", "stretch"]).select(
+    whole = again.join(digits.filter("many").select("gram", "stretch"), ["gram", "stretch"]).select(
         "row_key", F.shiftright("place", 16).alias("start"), (F.col("place").bitwiseAND(255) + 1).alias("size"))
-    return whole.unionByName(local).unionByName(wide)
+    runs = stored(whole.unionByName(local).unionByName(wide), "runs")
+    discard(grams, again, digits, windows)
+    return runs
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -254,7 +260,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     if not GRAM + 16 <= length <= GRAM + 252:
         raise ValueError("length must be from 64 to 300")
-    runs = stored(repeated_suffixes(only_text(docs).select(row_key().alias("row_key"), "text"), length), "runs")
+    runs = repeated_suffixes(only_text(docs).select(row_key().alias("row_key"), "text"), length)
     listed = runs.groupBy(F.col("row_key").alias("__key")).agg(
         F.collect_list(F.struct("start", "size")).alias("__runs"))  # runs of one document
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

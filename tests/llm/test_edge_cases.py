@@ -55,6 +55,12 @@ def test_suffix_dedup_lengths(docs, length):
     assert rows(out, "*") == sorted(((r[0], r[2]) for r in brute.op1(ROWS, length)), key=str)
 
 
+def test_suffix_dedup_cuts_long_texts(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    out = suffix_dedup.remove_repeats(docs).selectExpr("doc_id", "n_bytes - octet_length(kept) n", "sha2(kept, 256) h")
+    assert rows(out, "*") == sorted(((r[0], r[2], r[4]) for r in brute.op1(ROWS)), key=str)
+
+
 def test_suffix_dedup_splits_a_gram_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 4)
     shared = prose(7, 30)[:230]
