@@ -3,7 +3,8 @@
 Every task feeds its records into a Grace table: records go into an in-memory
 open-addressing table (Python's dict, which compares complete keys) until a byte
 budget is reached, then to spill files by four bits of their hash, and each file is
-worked off the same way with the next four bits, until a bucket fits.  The first
+worked off the same way with the next four bits, until a bucket fits.  Spill files belong to
+one task, in its own temporary folder, and go with it; no other task reads them.  The first
 pass runs where documents are read, so copies melt before anything is shuffled and
 a group of copies that holds a third of all rows reaches the second pass as one
 record a task.  The second pass runs after a shuffle on the hash.

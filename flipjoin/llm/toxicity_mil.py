@@ -84,7 +84,7 @@ def noisy_or(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)) if len(p) else np.zeros(n)
 
 
-def train(slot, sentence, text, y, rounds: int = 120, rate: float = 1.0, decay: float = 1e-3) -> Model:
+def train(slot, sentence, text, y, rounds: int = 120, rate: float = 1.0, decay: float = 1e-5) -> Model:
     """Gradient ascent with momentum on the likelihood of document labels under the noisy-or.
 
     All weights share one step size, so words that many documents agree on lead and rare
@@ -109,7 +109,7 @@ def train(slot, sentence, text, y, rounds: int = 120, rate: float = 1.0, decay:
         g = share[text] * np.where(y[text] == 1, p * (1 - doc[text]) / doc[text], -p)
         grad = np.bincount(slot, g[sentence], minlength=len(model.weights))
         scale = rate / (np.abs(grad).max() + 1e-4)
-        speed = 0.8 * speed + 0.2 * scale * (grad - decay * 0.01 * model.weights)
+        speed = 0.8 * speed + 0.2 * scale * (grad - decay * model.weights)
         bias_speed = 0.8 * bias_speed + 0.2 * np.clip(scale * g.sum(), -0.3, 0.3)
         model.weights = np.maximum(model.weights + speed, 0)
         model.bias += bias_speed
