@@ -5,13 +5,11 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 
 def _shingles(table: str, key: str, width: int) -> str:
-    words = f"list_filter(string_split_regex({_LOWER.format('coalesce(text, chr(32))')}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    words = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x20\\x09-\\x0D]+')"
     return f"""
-      SELECT {key}, unnest(list_distinct(CASE
-          WHEN len(w) = 0 THEN []
-          WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
-          ELSE list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) END)) AS s
-      FROM (SELECT {key}, {words} AS w FROM {table})"""
+      SELECT DISTINCT {key}, array_to_string(w[i:i + {width - 1}], ' ') AS s
+      FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS i
+            FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)"""
 
 
 DECONTAMINATION = f"""
