@@ -163,15 +163,21 @@ def exact_duplicates(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
 
 def without_copies(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
     """The rows that stay, with the columns of ``docs``; see exact_duplicates."""
-    joined = _with_keys(docs).join(_groups(docs, limit), "__sha").filter(_is_best())
-    return joined.dropDuplicates(["__sha", "doc_id"]).select(*docs.columns)
+    def known(c: str):
+        return F.coalesce(F.col(c).cast("long"), F.lit(-2**63))  # a null id is an id as well
+
+    best = _groups(docs, limit).select("__sha", F.coalesce("__keep_n", F.lit(0)).alias("__n"), known("__keep_id").alias("__id"))
+    # Dealt by all three, a large group is no hot key, and repeated rows are together already.
+    kept = _with_keys(docs).withColumn("__id", known("doc_id")).join(best, ["__sha", "__id", "__n"], "left_semi")
+    return kept.dropDuplicates(["__sha", "__id", "__n"]).select(*docs.columns)
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
+    """Keys that are never null by type: a test for null would compute the digest again."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.withColumns({
-        "__sha": F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256),
-        "__n": F.length(text).cast("long"),
+        "__sha": F.coalesce(F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256), F.lit("")),
+        "__n": F.coalesce(F.length(text).cast("long"), F.lit(0)),
     })
 
 
