@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = "struct<role:string,text:string>"
+#: Texts of any length: Spark's own limit is 20 million characters.
+WHOLE = {"maxStringLen": str(2**31 - 1)}
 
 
 @dataclass(frozen=True)
@@ -58,10 +60,10 @@ def field_paths(record: Column) -> Column:
     paths of all of them.
     """
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    values = F.from_json(record, "map<string,string>")
+    values = F.from_json(record, "map<string,string>", WHOLE)
 
     def below(name: Column) -> Column:
-        rows = F.coalesce(F.from_json(values[name], "array<string>"), F.array().cast("array<string>"))
+        rows = F.coalesce(F.from_json(values[name], "array<string>", WHOLE), F.array().cast("array<string>"))
         names = F.flatten(F.transform(rows, lambda r: F.coalesce(F.json_object_keys(r), F.array().cast("array<string>"))))
         return F.transform(F.array_distinct(names), lambda n: F.concat(name, F.lit("[]."), n))
 
@@ -69,14 +71,20 @@ def field_paths(record: Column) -> Column:
     return F.concat(top, F.flatten(F.transform(listed, below)))
 
 
+def _parsed(layout: Layout, record: Column) -> Column:
+    """Whether the values of a record that fits by its names can be read."""
+    values = F.from_json(record, "map<string,string>", WHOLE)
+    return values.isNotNull() if layout.messages is None else _turns_of(layout, record).isNotNull()
+
+
 def _turns_of(layout: Layout, record: Column) -> Column:
-    values = F.from_json(record, "map<string,string>")
+    values = F.from_json(record, "map<string,string>", WHOLE)
     empty = F.lit("")
     if layout.messages is None:
         return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(values[path], empty).alias("text"))
                          for role, path in layout.single]).cast(f"array<{TURN}>")
     path, role, text = layout.messages
-    rows = F.from_json(values[path], f"array<struct<`{role}`:string,`{text}`:string>>")
+    rows = F.from_json(values[path], f"array<struct<`{role}`:string,`{text}`:string>>", WHOLE)
 
     def renamed(r: Column) -> Column:
         out = F.coalesce(r, empty)
@@ -97,7 +105,7 @@ def canonical_turns(df: DataFrame, record: str = "record", layouts: tuple[Layout
     marked = df.withColumn("fingerprint", fingerprint(field_paths(F.col(record))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
     for x in reversed(layouts):
-        hit = F.col("fingerprint") == fingerprint(F.array(*map(F.lit, x.paths)))
+        hit = (F.col("fingerprint") == fingerprint(F.array(*map(F.lit, x.paths)))) & _parsed(x, F.col(record))
         layout = F.when(hit, x.name).otherwise(layout)
         turns = F.when(hit, _turns_of(x, F.col(record))).otherwise(turns)
     return marked.withColumns({"layout": layout, "turns": turns})

@@ -47,6 +47,22 @@ def test_hostile_texts_come_back(spark):
     assert have == sorted(brute.op10(rows))
 
 
+def test_texts_above_twenty_million_characters_stay_whole(spark):
+    long = F.expr("repeat('x', 20000100)")
+    df = spark.range(1).select(F.explode(F.array(
+        F.to_json(F.struct(long.alias("prompt"), F.lit("a").alias("completion"))),
+        F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), long.alias("content")),
+                                   F.struct(F.lit("assistant").alias("role"), F.lit("a").alias("content"))).alias("messages"))))).alias("record"))
+    out = C.format_chats(df).select("layout", F.transform("turns", lambda t: F.length(t["text"])).alias("n"), F.length("formatted").alias("m")).collect()
+    assert sorted((r["layout"], r["n"], r["m"] > 20_000_100) for r in out) == [("messages", [20_000_100, 1], True), ("prompt", [20_000_100, 1], True)]
+
+
+def test_a_record_that_does_not_parse_has_no_layout(spark):
+    df = spark.createDataFrame([('{"prompt": "q", "completion": "a"} x',), ('{"prompt": "q", "completion": "a"',), ('{"messages": 3}',), ('{"messages": null}',)], "record string")
+    for r in C.format_chats(df).collect():
+        assert (r["layout"] is None) == (r["turns"] is None) and (r["turns"] is None or "q" in r["formatted"]), r
+
+
 def test_the_plan_has_no_python(spark):
     df = spark.createDataFrame([("{}",)], "record string")
     plan = C.format_chats(df)._jdf.queryExecution().executedPlan().toString()
