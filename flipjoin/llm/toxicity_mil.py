@@ -25,8 +25,10 @@ PER_LABEL = 2000
 MOD, HELD_OUT = 5, 0
 #: Lengths in bytes of the beginnings of a word that count as well.
 PREFIXES = (4, 5, 6)
-#: A word counts if one of so many sampled documents has it, and two at least.
-RARE = 250
+#: A word counts if so many toxic documents have it, at any size of the sample.
+LEAST = 2
+#: A word that n toxic documents have learns at n / (n + SHRINK) of the speed.
+SHRINK = 4
 #: 2^18 weights: the size of what is broadcast.
 WEIGHT_BITS = 18
 
@@ -101,9 +103,10 @@ def train(slot, sentence, text, y, rounds: int = 120, rate: float = 1.0, decay:
     model = Model(np.zeros(1 << WEIGHT_BITS), -5.0)
     if not n_texts or not n_sentences:
         return Model(model.weights, -30.0)
-    # What few documents have explains their labels too easily: it gets no weight.
-    documents = different(slot * n_texts + text[sentence]) // n_texts
-    often = np.bincount(documents, minlength=1 << WEIGHT_BITS)[slot] >= max(2, n_texts // RARE)
+    # What one toxic document has explains its label too easily, what few have somewhat.
+    documents = different(slot * n_texts + text[sentence])
+    support = np.bincount(documents[y[documents % n_texts] == 1] // n_texts, minlength=1 << WEIGHT_BITS)
+    often, trust = support[slot] >= LEAST, support / (support + SHRINK)
     slot, sentence = slot[often], sentence[often]
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     speed, bias_speed = np.zeros(len(model.weights)), 0.0
@@ -113,7 +116,7 @@ def train(slot, sentence, text, y, rounds: int = 120, rate: float = 1.0, decay:
         doc = np.clip(noisy_or(p, text, n_texts), 1e-9, 1 - 1e-9)
         # d log L / d z of a sentence: p (1 - P) / P in a toxic document, -p in a clean one.
         g = share[text] * np.where(y[text] == 1, p * (1 - doc[text]) / doc[text], -p)
-        grad = np.bincount(slot, g[sentence], minlength=len(model.weights))
+        grad = trust * np.bincount(slot, g[sentence], minlength=len(model.weights))
         scale = rate / (np.abs(grad).max() + 1e-4)
         speed = 0.8 * speed + 0.2 * scale * (grad - decay * model.weights)
         bias_speed = 0.8 * bias_speed + 0.2 * np.clip(scale * g.sum(), -0.3, 0.3)
