@@ -6,15 +6,26 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flipjoin.llm import contamination, grace_dedup, near_copies, packing, quality_knn
+from flipjoin.llm import contamination, grace_dedup, packing, quality_knn, simhash_golay
 from flipjoin.llm.common import discard, stored, table
 
 
+def set_apart(docs: DataFrame) -> DataFrame:
+    """The id, the text and one struct of all columns, whose names no operator replaces."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+
+
+def put_back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` as they came."""
+    return rows.select("__row.*").select(*docs.columns)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-neighbour vote does not reject."""
-    scored = quality_knn.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    scored = quality_knn.quality_scores(set_apart(docs), table(spark, sf_dir, "labels"))
+    return put_back(scored.filter("predicted = 1"), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,14 +34,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each component of texts with similar shingles."""
-    return near_copies.without_near_copies(docs)
+    """The row with the smallest id of each component of fingerprints at most two bits apart."""
+    return simhash_golay.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter("not contaminated").select(*docs.columns)
+    found = contamination.contamination(set_apart(docs), table(spark, sf_dir, "benchmark"))
+    return put_back(found.filter("not contaminated"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     order of the round, edges are rewritten to those and loops and repeats go.  A fixed
     share of nodes goes each round, whatever the shape of the graph, so rounds grow with
     the logarithm of the largest component.  The minimum is combined before the shuffle,
-    so a node with many neighbours is no hot key.
+    so a node with many neighbours is no hot key.  Edges with a null end say nothing and
+    go; the result is stored, and the steps to it are deleted.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     todo = stored(both.filter("a <> b").distinct(), "edges")
@@ -29,10 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
         done, todo = todo, stored(todo.join(left, "a").join(right, "b").filter("la <> lb")
                                   .select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
         discard(done)
-    if not maps:
+    if not maps:  # no edges, no nodes
         return todo.select(F.col("a").alias("node"), F.col("b").alias("label"))
     out = maps[-1]
     for step in reversed(maps[:-1]):
         later = out.select(F.col("node").alias("label"), F.col("label").alias("final"))
         out = step.join(later, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    out = stored(out, "components")
+    discard(todo, *maps)
     return out

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_text, stored, text_bytes
+from .common import only_text, row_key, stored, text_bytes
 from .components import components
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -58,16 +58,16 @@ def _bit_counts(raw: bytearray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a BIGINT) for every row of ``docs``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, row_key, fp (the 64 bits as a BIGINT) for every row of ``docs``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t.lower().split(), width) for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], schema=schema)
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(np.array(fps, np.uint64).view(np.int64))], schema=schema)
 
-    return only_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return only_text(docs).withColumn("row_key", row_key()).mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -209,9 +209,9 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs``.
+    """doc_id, row_key, fp, component_id for every row of ``docs``.
 
-    Rows whose fingerprints are at most two bits apart are linked; component_id is the
+    Rows that repeat an id and a text share their row_key.  Rows whose fingerprints are at most two bits apart are linked; component_id is the
     smallest doc_id that links lead to, itself included (null only if all are null).
     Texts without words (null, empty, blank) have fingerprint zero and are linked like
     any other.  Equal fingerprints are one before any pair is looked at, so a large group
@@ -224,19 +224,17 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     known = distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = known.join(least, "label").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes, "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row of each component with the columns of ``docs``: that of the smallest id.
 
     Rows that repeat this id and its text leave one; components without any id keep
-    one row for each different text.
+    one row for each different text, and a null text is the empty one.
     """
-    def known(c: str):
-        return F.coalesce(F.col(c).cast("long"), F.lit(-2**63))  # a null id is an id as well
-
     found = near_duplicates(docs, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(known("doc_id").alias("__id")).distinct()
-    kept = docs.withColumn("__id", known("doc_id")).join(keep, "__id", "left_semi")
-    return kept.dropDuplicates(["__id", "text"]).select(*docs.columns)
+    keep = found.select(F.col("row_key").alias("__key")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("__key", F.xxhash64(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))))
+    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

@@ -7,6 +7,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flipjoin.llm import packing, quality_knn
@@ -62,12 +63,34 @@ def test_run_against_plain_stages(spark):
 
 
 def test_stages_keep_the_columns(spark):
-    docs = table(spark, SMALL, "documents").limit(40).withColumnRenamed("n_chars", "score")
+    """Names and values, where every name that an operator adds is taken."""
+    taken = ["score", "predicted", "held_out", "keep_id", "group_size", "kept", "text_sha256", "component_id", "n_items", "item_id", "contaminated"]
+    docs = table(spark, SMALL, "documents").limit(40)
+    for k, name in enumerate(taken):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}-"), "doc_id"))
+    rows = {r["doc_id"]: r for r in docs.collect()}
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SMALL).columns == docs.columns
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r == rows[r["doc_id"]] for r in found)
         assert stage(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_without_labels_and_items_every_clean_row_stays(spark, tmp_path):
+    docs = table(spark, SMALL, "documents").limit(20)
+    for name in ("labels", "benchmark"):
+        table(spark, SMALL, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for _, stage in (corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[3]):
+        assert stage(spark, docs, str(tmp_path)).count() == 20
+
+
+def test_near_duplicates_without_ids(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, "A b  c"), (3, "a b c"), (None, None), (None, ""), (None, None)], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    assert sorted(str(r["doc_id"]) for r in stage(spark, df, "").collect()) == ["3", "None"]
+
+
 def test_packing_is_close_to_the_least(spark):
     rng = np.random.default_rng(3)
     for lengths in (rng.integers(1, 1024, 3000), np.minimum(1023, rng.lognormal(5.5, 0.9, 3000).astype(int) + 1)):
