@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_format, contamination, grace_dedup, line_dedup, ngram_lm, packing, quality_knn, simhash_golay,
-               suffix_dedup, toxicity_mil)
+               suffix_dedup, token_counts, toxicity_mil)
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -96,7 +96,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_language_model, op3_toxicity, op4_decontamination, op5_packing, op6_exact_dedup,
-                            op7_quality, op8_simhash, op9_line_dedup, op10_chat_format)
+                            op7_quality, op8_simhash, op9_line_dedup, op10_chat_format, op13_token_counts)
 }
