@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_format, contamination, grace_dedup, line_dedup, ngram_lm, packing, quality_knn, simhash_golay,
-               suffix_dedup, token_counts, toxicity_mil)
+               square_runs, suffix_dedup, token_counts, toxicity_mil)
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -96,11 +96,38 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by crc32 of the id, repeats a part of its words from some word on.
+
+    A null id counts as the empty text there.  All other texts are left as they are.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    planted = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all(
+        F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w")).withColumn("n", F.size("w"))
+    g, n = F.floor(F.col("h") / 10), F.col("n")
+    cut = planted.withColumn("a", F.when(n > 0, F.pmod(g, n)).cast("int")).withColumn(
+        "p", (F.floor((n - F.col("a")) / (F.pmod(g, F.lit(8)) + 3)) + 1).cast("int"))
+    a, p = F.col("a"), F.col("p")
+    again = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    words = F.slice(F.concat(F.slice("w", F.lit(1), a), again), F.lit(1), n)
+    return cut.select("doc_id", F.when(n > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_square_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = square_runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"), F.floor(F.col("top.length") * 1000 / -F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_language_model, op3_toxicity, op4_decontamination, op5_packing, op6_exact_dedup,
-                            op7_quality, op8_simhash, op9_line_dedup, op10_chat_format, op13_token_counts)
+                            op7_quality, op8_simhash, op9_line_dedup, op10_chat_format, op12_square_runs, op13_token_counts)
 }
