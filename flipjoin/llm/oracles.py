@@ -62,9 +62,47 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+#: crc32 by a table of its 256 steps; nodes are named by the texts of their turns.
+TRIE = r"""
+WITH RECURSIVE steps(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM steps WHERE k = 8),
+t AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT c, own, c - ((c % 20) + 20) % 20 AS base, xor(list_reduce(
+           list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+           lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT c, max(pos) AS own FROM t GROUP BY c), tab),
+l AS (
+  SELECT k.c, k.h, k.base, least(k.h, coalesce(b.own, 0)) AS lent, least(k.h, coalesce(b.own, 0)) + greatest(k.own - k.h, 0) AS n
+  FROM k LEFT JOIN k b ON b.c = k.base),
+u AS (
+  SELECT l.c, t.pos - h + lent AS d, r, x FROM l JOIN t ON t.c = l.c WHERE pos > h
+  UNION ALL SELECT l.c, pos, r, x FROM l JOIN t ON t.c = l.base WHERE pos <= lent),
+named AS (
+  SELECT c, d, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w,
+         string_agg(md5(length(r) || ':' || r || x), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS path FROM u
+  UNION ALL SELECT c, 0, 0, '' FROM l),
+p AS (SELECT c, d, w, path, lag(path) OVER (PARTITION BY c ORDER BY d) AS above FROM named),
+nodes AS (SELECT path, min(c) AS conv_id, min(d) AS depth, count(*) AS n_convs, (count(*) - 1) * min(w) AS saved, min(above) AS above FROM p GROUP BY path),
+kids AS (SELECT above AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above),
+ends AS (SELECT path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM p JOIN l USING (c) WHERE d = n GROUP BY path),
+under AS (
+  SELECT p.path, sum(saved) AS saved_tokens, count(*) FILTER (kids.path IS NULL) AS n_leaves
+  FROM nodes LEFT JOIN kids USING (path) JOIN p ON p.c = conv_id AND p.d <= depth GROUP BY p.path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN under USING (path) LEFT JOIN kids USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes up ON up.path = n.above
+"""
+
 ORACLES = {
     "op4_decontamination": DECONTAMINATION,
     "op6_exact_dedup": EXACT,
     "op9_line_dedup": LINES,
     "op10_chat_format": CHAT,
+    "op11_prefix_trie": TRIE,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, contamination, grace_dedup, line_dedup, ngram_lm, packing, quality_knn, simhash_golay,
+from . import (chat_format, contamination, grace_dedup, line_dedup, ngram_lm, packing, prefix_trie, quality_knn, simhash_golay,
                square_runs, suffix_dedup, token_counts, toxicity_mil)
 from .common import table
 from .oracles import ORACLES  # noqa: F401
@@ -96,6 +96,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """Every tenth text, by crc32 of the id, repeats a part of its words from some word on.
 
@@ -129,5 +133,5 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_language_model, op3_toxicity, op4_decontamination, op5_packing, op6_exact_dedup,
-                            op7_quality, op8_simhash, op9_line_dedup, op10_chat_format, op12_square_runs, op13_token_counts)
+                            op7_quality, op8_simhash, op9_line_dedup, op10_chat_format, op11_prefix_trie, op12_square_runs, op13_token_counts)
 }
