@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.strategy import MAXPARALLEL, MULTISECTION, Strategy, strategy as make_strategy
+from ..plans.strategy import GROUP, HASHING, MAXPARALLEL, MULTISECTION, SERIAL, Strategy, strategy as make_strategy
+from .cell_joins import CELL_ROWS, cell_pairs
 from .cells import bitmap_pairs, slice_bitmaps
 from .codes import code_column, is_text, with_words, word_names
 from .keys import pair_cells, section_key, section_of
@@ -22,6 +23,8 @@ def pairs(
     unique: bool = False,
     clustered: bool = False,
     partitions: int | None = None,
+    execution: str = "slices",
+    cell_rows: int = CELL_ROWS,
     **params,
 ) -> DataFrame:
     """Pairs ``(x_lo, x_hi)`` of codes present in ``df``, ``x_lo`` having the zero bit.
@@ -37,7 +40,15 @@ def pairs(
     numbers: up to 64 codes then melt into one row before the only shuffle.  Either
     hint changes the speed only, never the pairs.  ``partitions`` sizes the large
     shuffle of unclustered codes (default: the session's setting).
+
+    ``execution='slices'`` finds pairs by one slicing, whatever the strategy, and tells
+    their cells from the codes.  ``'cells'`` runs the strategy on its own cells, with its
+    own replication (see ``cell_joins``); the rows are the same.  Blocks of serial and
+    hashing are then cut where a cell would hold more than ``cell_rows`` codes, by counts
+    that take a job while the query is built.
     """
+    if execution not in ("slices", "cells"):
+        raise ValueError("execution is slices or cells")
     if mode not in ("distinct", "raw"):
         raise ValueError("mode is distinct or raw")
     s = strategy if isinstance(strategy, Strategy) else make_strategy(strategy, b, **params)
@@ -49,6 +60,8 @@ def pairs(
     codes = with_words(df, code, layout).select(*names)
     if not (unique or clustered):
         codes = codes.distinct()
+    if execution == "cells":
+        return _of_cells(codes.distinct() if clustered and not unique else codes, s, text, mode == "raw", with_key, cell_rows, partitions)
     found = word_pairs(codes, s, partitions, clustered)
     lo, hi = ([F.col(f"{side}{w}") for w in names] for side in ("lo", "hi"))
     out = [code_column(lo, layout, text).alias("x_lo"), code_column(hi, layout, text).alias("x_hi")]
@@ -61,6 +74,21 @@ def pairs(
     return found.select(*(["key"] if with_key else []), *out)
 
 
+def _of_cells(codes: DataFrame, s: Strategy, text: bool, raw: bool, with_key: bool, cell_rows: int,
+              partitions: int | None) -> DataFrame:
+    found = cell_pairs(codes, s, raw, cell_rows, partitions)
+    lo, hi = ([F.col(f"{side}{w}") for w in word_names(s.layout)] for side in ("lo", "hi"))
+    keys = {
+        SERIAL: lambda: F.struct(F.lit(1).alias("one")),
+        HASHING: lambda: F.struct("lo", "hi"),
+        GROUP: lambda: F.struct("gi", "gj"),
+        MAXPARALLEL: lambda: section_key(lo, F.col("p"), s, text),
+        MULTISECTION: lambda: section_key(lo, F.col("m"), s, text),
+    }
+    out = [code_column(lo, s.layout, text).alias("x_lo"), code_column(hi, s.layout, text).alias("x_hi")]
+    return found.select(*([keys[s.name]().alias("key")] if with_key else []), *out)
+
+
 def word_pairs(codes: DataFrame, s: Strategy, partitions: int | None = None,
                clustered: bool = False, count: str | None = None) -> DataFrame:
     """``(position, lo words, hi words)`` of every pair of distinct codes, once.

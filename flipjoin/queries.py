@@ -22,6 +22,7 @@ from .operators.pairs import pairs
 from .operators.records import HOT_ROWS, code_counts, record_pair_counts, record_pairs
 from .plans.cost import cost_profile
 from .plans.strategy import Strategy, strategy
+from .plans.timing import timing_profile
 from .session import shared_folder
 from .sources.encoders import bit_width, fold_signs, position_bitmap, sign_text, text_digests
 from .sources.reports import append_report, read_report
@@ -294,6 +295,66 @@ def _raw(code: str, s: Strategy, spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(df, "x_lo", "x_hi")
 
 
+# -- the strategies on their own cells -------------------------------------------
+
+def _cell_pairs(code: str, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, b = coded(code, spark, sf_dir)
+    params = parameters(name, b)
+    params.pop("block_by", None)
+    return pairs(df, b, name, execution="cells", unique=code == "orders", **params)
+
+
+for _code in ("months", "orders", "shipping"):
+    for _name in ("serial", "hashing", "group", "maxparallel", "multisection"):
+        register(f"pairs_cells_{_name}_{_code}", partial(_cell_pairs, _code, _name), pair_sql(_code))
+
+
+def _cell_raw(code: str, s: Strategy, cell_rows: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = pairs(CODES[code](spark, sf_dir), s.b, s, mode="raw", with_key=True, execution="cells", cell_rows=cell_rows)
+    return flat(df, "x_lo", "x_hi")
+
+
+_RAW = [strategy("hashing", 12, J=J, block_by="mod") for J in (2, 3, 4)] + [strategy("group", 12, u=u) for u in (1, 2, 3)]
+_RAW += [strategy("maxparallel", 12), strategy("multisection", 12, section=2), strategy("multisection", 12, section=5)]
+for _s in _RAW:
+    _clause, _key = key_sql("months", _s)
+    _cols = ", ".join(f"l.{c} AS {c}" for c in _key) + ", l.x AS x_lo, r.x AS x_hi"
+    # 50: blocks of the small tables are cut as well
+    register(f"pairs_cells_raw_{_s.name}{_s.param or ''}_months", partial(_cell_raw, "months", _s, 50), raw_sql("months", _s, _cols))
+
+
+def _timing(code: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the phases of one run of each strategy hand on; their times vary and are left out."""
+    found = timing_profile(CODES[code](spark, sf_dir), strategies(WIDTH[code]), reps=1)
+    return found.select("strategy", F.col("param").cast("bigint").alias("param"), "phase", F.col("rep").cast("bigint").alias("rep"), "rows")
+
+
+def _timing_sql(code: str, s: Strategy) -> str:
+    clause, key = key_sql(code, s)
+    by, same = ", ".join(key), " AND ".join(f"l.{c} = r.{c}" for c in key)
+    half = s.b // 2
+
+    def masks(ranges: list[tuple[int, int]]) -> str:
+        return "(VALUES " + ", ".join(f"({x.section}, {x.position}, {x.mask}::BIGINT)" for x in s.layout.slices(ranges)) + ") v(part, t, mask)"
+
+    grouped = {
+        "maxparallel": f"SELECT DISTINCT {by} FROM d",
+        "multisection": "SELECT * FROM d",
+        "group": f"""SELECT DISTINCT gi, gj, part, w - up, t, x & ~mask
+            FROM (SELECT *, CASE part WHEN 0 THEN bit_count(x >> {half}) ELSE bit_count(x & {(1 << half) - 1}) END AS w
+                  FROM d, {masks([(half, s.b), (0, half)])}), (VALUES (0), (1)) u(up)""",
+    }.get(s.name, f"SELECT DISTINCT {by}, t, x & ~mask FROM d, {masks([(0, s.b)])}")
+    return f"""{clause}, d AS (SELECT DISTINCT {by}, x FROM k),
+        p AS (SELECT 'map' AS phase, (SELECT count(*) FROM d) AS rows
+              UNION ALL SELECT 'group', (SELECT count(*) FROM ({grouped}))
+              UNION ALL SELECT unnest(['reduce', 'overall']), (SELECT count(*) FROM d l JOIN d r ON {same} AND {NEIGHBOURS.format(a='l', z='r')}))
+        SELECT '{s.name}' AS strategy, {s.param}::BIGINT AS param, phase, 0::BIGINT AS rep, rows FROM p"""
+
+
+register("timing_profile_months", partial(_timing, "months"),
+         " UNION ALL ".join(f"SELECT * FROM ({_timing_sql('months', s)})" for s in strategies(12)))
+
+
 # -- keys, groups, histograms and costs per strategy ---------------------------
 
 def _keys(code: str, s: Strategy, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,8 +488,10 @@ for _name in WIDE:
     register(f"cost_{_name}_shipping", partial(_wide, lambda df, s: _as_big(cost_profile(df, s)), _name),
              _profile_sql(_clause, _key, f"'{_name}'", f"{next(iter(WIDE[_name].values()), 0)}::BIGINT", "(SELECT b FROM w)", near=_near))
     _same = " AND ".join(f"l.{c} = r.{c}" for c in _key)
+    # cells of two codes where that is the definition, else all codes of a cell compared
     register(f"pairs_raw_{_name}_shipping",
              partial(_wide, lambda df, s: flat(pairs(df, s.b, s, mode="raw", with_key=True), "x_lo", "x_hi"), _name),
+             f"{_clause} SELECT {_by}, min(x) AS x_lo, max(x) AS x_hi FROM k GROUP BY {_by} HAVING count(DISTINCT x) = 2" if _name == "maxparallel" else
              f"{_clause}, d AS (SELECT DISTINCT {_by}, x FROM k) SELECT {', '.join(f'l.{c} AS {c}' for c in _key)}, "
              f"l.x AS x_lo, r.x AS x_hi FROM d l JOIN d r ON {_same} AND {_near}")
 register("groups_multisection_shipping", partial(_wide, lambda df, s: flat(

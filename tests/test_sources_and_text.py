@@ -172,6 +172,14 @@ def test_timing(spark, universe):
     assert len(rows) == 2 * 2 * 4
     assert {r.phase for r in rows} == {"map", "group", "reduce", "overall"}
     assert profile.schema.simpleString() == spark.createDataFrame([], TIMING_SCHEMA).schema.simpleString()
+    found = {(r.strategy, r.rep, r.phase): r for r in rows}
+    for name, _, _ in {(r.strategy, r.rep, 0) for r in rows}:
+        for rep in range(2):  # one run: its phases add up, and each hands its rows on
+            phases = [found[name, rep, p] for p in ("map", "group", "reduce")]
+            overall = found[name, rep, "overall"]
+            assert overall.ms == sum(p.ms for p in phases) and all(p.ms >= 0 and p.tasks > 0 for p in phases)
+            assert overall.rows == phases[2].rows == 1024 and overall.shuffle_rows == sum(p.shuffle_rows for p in phases) > 0
+            assert phases[0].rows == 256 * (2 if name == "multisection" else 1)
     for r in timing_summary(profile).collect():
         assert r.reps == 2 and r.ms_min <= r.ms_avg <= r.ms_max
 
