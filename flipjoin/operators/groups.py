@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.strategy import Strategy
 from .codes import code_column, is_text, with_words, word_names
+from .formatting import format_keys
 from .keys import emits, keyed, keyed_words
 
 # Groups are shown as arrays only where the strategy bounds them by this.
@@ -74,3 +75,16 @@ def groups(df: DataFrame, s: Strategy, code: str = "x") -> DataFrame:
 def partition_sizes(df: DataFrame) -> DataFrame:
     """``(partition, n)``: rows per physical partition."""
     return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def key_volume(df: DataFrame, s: Strategy, code: str = "x") -> DataFrame:
+    """``(keys, bytes, longest)``: how many keys the map side writes and the bytes of their text form.
+
+    One row.  Codes are counted first, so a key is formatted once for all copies of its code.
+    """
+    text = is_text(df, code) and not s.layout.narrow
+    formatted = format_keys(keyed_words(word_counts(df, s, code), s, text))
+    size = F.octet_length("key").cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    return formatted.agg(F.coalesce(F.sum("n"), zero).alias("keys"), F.coalesce(F.sum(size * F.col("n")), zero).alias("bytes"),
+                         F.coalesce(F.max(size), zero).alias("longest"))
