@@ -75,7 +75,8 @@ def _metrics(spark: SparkSession, group: str) -> tuple[int, ...]:
     context.listenerBus().waitUntilEmpty()
     jobs = spark.sparkContext.statusTracker()
     stages = {stage for job in jobs.getJobIdsForGroup(group) for stage in jobs.getJobInfo(job).stageIds}
-    data = [d for d in map(context.statusStore().lastStageAttempt, stages) if d.numCompleteTasks()]  # skipped ones ran elsewhere
+    ran = [stage for stage in stages if jobs.getStageInfo(stage)]  # the store keeps no others in a long session
+    data = [d for d in map(context.statusStore().lastStageAttempt, ran) if d.numCompleteTasks()]  # skipped ones have none
     return (sum(d.numCompleteTasks() for d in data), sum(d.executorRunTime() for d in data),
             sum(d.shuffleWriteRecords() for d in data), sum(d.shuffleWriteBytes() for d in data) // 1000)
 
