@@ -37,16 +37,40 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 
 LINES = r"""
 WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS line FROM p),
+c AS (SELECT doc_id, line, string_split(regexp_replace(part, '([.!?][\x20\x09\x0B-\x0D]+)', '\1' || chr(10), 'g'), chr(10)) AS parts FROM l),
+t AS (SELECT doc_id, line, unnest(parts) AS s, unnest(range(len(parts))) AS pos FROM c),
+n AS (
+  SELECT *, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
+         line + coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY line, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY doc_id, line) AS n FROM n WHERE norm <> ''),
 u AS (
-  SELECT doc_id, pos, part, trim(regexp_replace(lower(part), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
-         coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS pos FROM p)),
-m AS (
-  SELECT *, length(norm) >= 40 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS gone FROM u)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(part) AS BIGINT), ' ' ORDER BY pos) FILTER (gone), '') AS removed,
-       sha256(coalesce(string_agg(part, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+  SELECT doc_id, line, k, norm FROM k
+  UNION ALL SELECT doc_id, line, -1, string_agg(norm, ' ' ORDER BY k) FROM k WHERE n > 1 GROUP BY doc_id, line),
+r AS (SELECT doc_id, line, k, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line, k) > 1 AS later, count(*) OVER (PARTITION BY norm) > 1 AS shared FROM u),
+f AS (
+  SELECT k.*, w.later AS whole, own.later OR w.later AS rep, own.shared OR w.shared AS shared
+  FROM k JOIN r own USING (doc_id, line, k) JOIN r w ON w.doc_id = k.doc_id AND w.line = k.line AND w.k = CASE WHEN k.n = 1 THEN 0 ELSE -1 END),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) AS i FROM f),
+i1 AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, rep ORDER BY i) AS g, i - row_number() OVER (PARTITION BY doc_id, shared ORDER BY i) AS gs FROM o),
+i2 AS (SELECT *, whole OR (rep AND sum(strlen(norm)) OVER (PARTITION BY doc_id, rep, g) >= 120) AS gone,
+              CASE WHEN shared THEN sum(strlen(norm)) OVER (PARTITION BY doc_id, shared, gs) ELSE 0 END AS shared_run FROM i1),
+i3 AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS gg, k - row_number() OVER (PARTITION BY doc_id, line, gone ORDER BY k) AS gl FROM i2),
+i4 AS (SELECT *, CASE WHEN gone THEN sum(strlen(norm)) OVER (PARTITION BY doc_id, gone, gg) ELSE 0 END AS gone_run FROM i3),
+spans AS (
+  SELECT doc_id, string_agg(a || '-' || z, ' ' ORDER BY a) AS removed FROM (
+    SELECT doc_id, CAST(min(start) AS BIGINT) AS a, CAST(max(start + length(s)) AS BIGINT) AS z FROM i4 WHERE gone GROUP BY doc_id, line, gl) GROUP BY doc_id),
+lines AS (
+  SELECT n.doc_id, n.line, string_agg(n.s, '' ORDER BY n.pos) FILTER (gone IS NULL OR NOT gone) AS left_,
+         count(*) FILTER (norm <> '') > 0 AND coalesce(bool_and(gone) FILTER (norm <> ''), false) AS vanished
+  FROM n LEFT JOIN (SELECT doc_id, line, pos, gone FROM i4) g USING (doc_id, line, pos) GROUP BY n.doc_id, n.line),
+kept AS (SELECT doc_id, sha256(coalesce(string_agg(coalesce(left_, ''), chr(10) ORDER BY line) FILTER (NOT vanished), '')) AS kept_sha256 FROM lines GROUP BY doc_id),
+sums AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, CAST(max(gone_run) AS BIGINT) AS longest_removed,
+         CAST(max(shared_run) AS BIGINT) AS longest_shared FROM i4 GROUP BY doc_id)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
+       coalesce(longest_removed, 0) AS longest_removed, coalesce(longest_shared, 0) AS longest_shared, kept_sha256
+FROM kept LEFT JOIN sums USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
 CHAT = r"""

@@ -58,8 +58,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.without_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string")))
-    return out.select("doc_id", F.col("n_units").cast("long").alias("n_units"), F.col("n_removed").cast("long").alias("n_removed"),
-                      F.array_join(spans, " ").alias("removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_units", "n_removed", F.array_join(spans, " ").alias("removed"), "longest_removed", "longest_shared",
+                      F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def conversation_records(conversations: DataFrame) -> DataFrame:

@@ -103,23 +103,65 @@ def op8(docs):
     return [(doc_id, f"{f:016x}", least.get(root(f))) for doc_id, f in fps]
 
 
-def op9(docs, min_chars=40):
-    """docs in order of id; ids and texts differ."""
+def op9(docs, min_run=120):
+    """docs in order of id, no two rows alike; every unit against all before it."""
     import re
 
-    seen, out = set(), []
-    for doc_id, text in docs:
-        parts, at, spans, kept = (text or "").split("\n"), 0, [], []
-        for p in parts:
-            norm = re.sub(r"[\x20\x09-\x0D]+", " ", p.lower()).strip(" ")
-            if len(norm) >= min_chars and norm in seen:
-                spans.append(f"{at}-{at + len(p)}")
-            else:
-                kept.append(p)
-            if len(norm) >= min_chars:
-                seen.add(norm)
-            at += len(p) + 1
-        out.append((doc_id, len(parts), len(spans), " ".join(spans), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[A-Z]+", lambda m: m[0].lower(), x)).strip(" ")
+    cut = lambda line: re.sub(r"([.!?][\x20\x09\x0B-\x0D]+)", r"\1\n", line).split("\n")
+    texts = [[cut(line) for line in (t or "").split("\n")] for _, t in docs]
+    counts, seen, later = Counter(), set(), {}
+    for d, lines in enumerate(texts):
+        for li, parts in enumerate(lines):
+            norms = [norm(p) for p in parts if norm(p)]
+            for k, x in ([(-1, " ".join(norms))] if len(norms) > 1 else []) + list(enumerate(norms)):
+                counts[x] += 1
+                later[d, li, k] = (x, x in seen)
+                seen.add(x)
+    out = []
+    for d, (doc_id, _) in enumerate(docs):
+        flat, at = [], 0  # line, start, end, bytes, whole, repeated, shared
+        for li, parts in enumerate(texts[d]):
+            n = sum(1 for p in parts if norm(p))
+            k = 0
+            for p in parts:
+                if norm(p):
+                    own, line = later[d, li, k], later[d, li, 0 if n == 1 else -1]
+                    flat.append([li, at, at + len(p), len(norm(p).encode()), line[1], own[1] or line[1], counts[own[0]] > 1 or counts[line[0]] > 1])
+                    k += 1
+                at += len(p)
+            at += 1
+
+        def runs(flags):
+            got, size = [], 0
+            for f, flag in zip(flat, flags):
+                size = size + f[3] if flag else 0
+                got.append(size)
+            for i in range(len(got) - 2, -1, -1):
+                if flags[i] and flags[i + 1]:
+                    got[i] = got[i + 1]
+            return got
+
+        gone = [f[4] or (f[5] and n >= min_run) for f, n in zip(flat, runs([f[5] for f in flat]))]
+        spans = []
+        for i, (f, g) in enumerate(zip(flat, gone)):
+            if g and i and gone[i - 1] and flat[i - 1][0] == f[0]:
+                spans[-1][1] = f[2]
+            elif g:
+                spans.append([f[1], f[2]])
+        kept, starts = [], {f[1]: g for f, g in zip(flat, gone)}
+        at = 0
+        for li, parts in enumerate(texts[d]):
+            mine = [g for f, g in zip(flat, gone) if f[0] == li]
+            left = ""
+            for p in parts:
+                left += "" if norm(p) and starts[at] else p
+                at += len(p)
+            at += 1
+            if not mine or not all(mine):
+                kept.append(left)
+        out.append((doc_id, len(flat), sum(gone), " ".join(f"{a}-{z}" for a, z in spans), max(runs(gone), default=0),
+                    max(runs([f[6] for f in flat]), default=0), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return out
 
 

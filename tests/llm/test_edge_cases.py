@@ -202,17 +202,42 @@ def test_simhash_links_survive_large_groups(spark, monkeypatch):
                 assert root(a) == root(b)
 
 
+LINE_COLUMNS = ("doc_id", "n_units", "n_removed", "array_join(transform(removed, r -> concat(r.start, '-', r.end)), ' ') s",
+                "longest_removed", "longest_shared", "sha2(kept_text, 256) h")
+
+
 def test_line_dedup(spark, empty):
     line = "A line that is long enough to be looked at, surely."
-    data = [(1, f"{line}\nother\n{line}  \n"), (2, None), (3, line.upper()), (4, "short\nshort"), (5, f"\n{line}\n{prose(1, 20)}"), (6, "")]
-    df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, removed string")
+    passage = "One sentence of it. Another one, a little longer than that!  And is this the third? It is. So the passage ends, after all it had to say."
+    broken = passage.replace("that!  And", "that!\nAnd").replace("It is. So", "It is.\n\nSo")
+    data = [(1, f"{line}\nother\n{line}  \n"), (2, None), (3, line.upper()), (4, "short\nshort\n 3.14. x"), (5, f"\n{line}\n{prose(1, 20)}"), (6, ""),
+            (7, f"Before it. {passage} After it.\nIt is."), (8, f"Something else. {broken} Then more."), (9, f"{passage}\nIt is. Really it is."), (10, " \n\n é. É. "),
+            (11, LONG[:20_000]), (12, LONG[:9000] + ". " + passage)]
+    df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, removed string").repartition(3)
     out = line_dedup.without_repeated_units(df)
-    got = rows(out.selectExpr("doc_id", "cast(n_units as int) u", "cast(n_removed as int) n",
-                              "array_join(transform(removed, r -> concat(r.start, '-', r.end)), ' ') s", "sha2(kept_text, 256) h"), "*")
-    assert got == sorted(brute.op9(data), key=str)
-    again = line_dedup.without_repeated_units(df.union(df)).filter("doc_id = 1").collect()
-    assert len(again) == 2 and again[0] == again[1]
+    assert out.columns == ["doc_id", "text", "n_units", "n_removed", "removed", "longest_removed", "longest_shared", "kept_text"]
+    assert rows(out.selectExpr(*LINE_COLUMNS), "*") == sorted(brute.op9(data), key=str)
+    found = {r["doc_id"]: r for r in out.collect()}
+    assert found[8]["n_removed"] >= 2 and found[7]["n_removed"] == 0 and found[7]["longest_shared"] > 100
+    assert found[9]["kept_text"].startswith("It is. Really")
     assert line_dedup.without_repeated_units(empty).count() == 0
     paragraphs = spark.createDataFrame([(1, f"{line}\n\n{line}")], "doc_id long, text string")
     r = line_dedup.without_repeated_units(paragraphs, "paragraph").collect()[0]
     assert r["kept_text"] == line and r["removed"][0]["start"] == len(line) + 2
+
+
+def test_line_dedup_of_repeated_rows_and_null_ids(spark):
+    """Of rows alike one is the earliest; a null id comes last."""
+    text = "Some line of text.\nAnd another one."
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, "Some line of text."), (1, text)], "doc_id long, text string").repartition(2)
+    got = sorted(((r["doc_id"] or 99, r["n_removed"], r["kept_text"]) for r in line_dedup.without_repeated_units(df).collect()))
+    assert got == [(1, 0, text), (1, 2, ""), (1, 2, ""), (99, 1, ""), (99, 2, "")]
+
+
+def test_line_dedup_of_random_texts(spark):
+    rng = np.random.default_rng(8)
+    pool = [" ".join(WORDS[i] for i in rng.integers(0, len(WORDS), rng.integers(1, 12))) + str(rng.choice([".", "!", "?", "", ".."])) for _ in range(60)]
+    data = [(i, "".join(pool[j] + str(rng.choice([" ", "\n", "  \t", "\n\n", " "])) for j in rng.integers(0, 60, rng.integers(1, 12)))) for i in range(120)]
+    for min_run in (1, 60, 120):
+        out = line_dedup.without_repeated_units(spark.createDataFrame(data, "doc_id long, text string"), min_run=min_run)
+        assert rows(out.selectExpr(*LINE_COLUMNS), "*") == sorted(brute.op9(data, min_run), key=str)
