@@ -13,8 +13,9 @@ to the shared folder, uncompressed, so that a blob lies in its file as it is; ex
 fetch the files once and map them.  Memory holds one group of texts and the pages it
 touches, whatever the size of the model.
 
-Pairs that occur less than ``min_count`` times in training are left to the back-off,
-whose weight takes their mass: the probabilities of a context add up to one.
+All pairs of training are kept; a caller may leave those that occur less than
+``min_count`` times to the back-off, whose weight then takes their mass.  Either way the
+probabilities of a context add up to one.
 """
 
 from __future__ import annotations
@@ -34,7 +35,10 @@ from .elias_fano import EliasFano, coded, mapped, pack, prefixed
 from .numhash import Words, mix, text_groups
 
 MOD, HELD_OUT = 7, 2
-MIN_COUNT = 2
+#: Pairs that occur less often are left to the back-off; 1 keeps all.
+MIN_COUNT = 1
+#: Shards of the levels for each input partition.
+SHARDS = 4
 #: Bytes of text that are looked up together, and tallies a task holds before it sends them.
 TOGETHER, TALLIES = 8 << 20, 4_000_000
 #: Log probabilities are multiples of this, down to -16.
@@ -206,7 +210,7 @@ def _files(rows: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame,
 def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Levels:
     """Learn from all rows of ``docs`` (text); the levels stay in the shared folder."""
     spark = docs.sparkSession
-    shards = max(8, docs.rdd.getNumPartitions())
+    shards = max(8, SHARDS * docs.rdd.getNumPartitions())
 
     def count_words(batches):
         tally = Tally()

@@ -4,22 +4,27 @@
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _shingles(table: str, key: str, width: int) -> str:
+def _words(table: str, key: str) -> str:
     words = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x20\\x09-\\x0D]+')"
+    return f"SELECT {key}, {words} AS w FROM {table}"
+
+
+def _shingles(rows: str, key: str) -> str:
+    """Different runs of ``width`` words, for rows of key, w and width."""
     return f"""
-      SELECT DISTINCT {key}, array_to_string(w[i:i + {width - 1}], ' ') AS s
-      FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS i
-            FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)"""
+      SELECT DISTINCT {key}, width, array_to_string(w[i:i + width - 1], ' ') AS s
+      FROM (SELECT {key}, w, width, unnest(range(1, greatest(len(w) - width + 2, 1))) AS i FROM ({rows}))"""
 
 
 DECONTAMINATION = f"""
-WITH items AS ({_shingles('benchmark', 'item_id', 5)}),
-sets AS (SELECT item_id, list_sort(list(s)) AS l, count(*) AS q FROM items GROUP BY item_id),
-chosen AS (SELECT min(item_id) AS item_id, any_value(q) AS q FROM sets GROUP BY l),
-needed AS (SELECT s, item_id, q FROM items JOIN chosen USING (item_id)),
-docs AS ({_shingles('documents', 'doc_id', 5)}),
+WITH wide AS (SELECT item_id, w, least(len(w), 5) AS width FROM ({_words('benchmark', 'item_id')}) WHERE len(w) > 0),
+items AS ({_shingles('SELECT * FROM wide', 'item_id')}),
+sets AS (SELECT item_id, width, list_sort(list(s)) AS l, count(*) AS q FROM items GROUP BY item_id, width),
+chosen AS (SELECT min(item_id) AS item_id, any_value(q) AS q FROM sets GROUP BY width, l),
+needed AS (SELECT s, width, item_id, q FROM items JOIN chosen USING (item_id)),
+docs AS ({_shingles(f"SELECT doc_id, w, width FROM ({_words('documents', 'doc_id')}), (SELECT DISTINCT width FROM wide)", 'doc_id')}),
 hits AS (
-  SELECT doc_id, item_id FROM docs JOIN needed USING (s)
+  SELECT doc_id, item_id FROM docs JOIN needed USING (s, width)
   GROUP BY doc_id, item_id HAVING count(*) * 10 >= any_value(q) * 8)
 SELECT d.doc_id, count(h.item_id) AS n_items, coalesce(min(h.item_id), -1) AS item_id, count(h.item_id) > 0 AS contaminated
 FROM documents d LEFT JOIN hits h USING (doc_id) GROUP BY d.doc_id

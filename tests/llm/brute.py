@@ -50,7 +50,8 @@ def op4(docs, items, width=5):
             sets[s] = min(item_id, sets.get(s, item_id))
     out = []
     for doc_id, text in docs:
-        have = set(shingles(text, width))
+        w = words(text)
+        have = {b" ".join(w[i:i + k]) for k in range(1, width + 1) for i in range(len(w) - k + 1)}  # short items have short shingles
         hit = [i for s, i in sets.items() if len(s & have) * 10 >= len(s) * 8]
         out.append((doc_id, len(hit), min(hit, default=None), bool(hit)))
     return out

@@ -29,7 +29,7 @@ def test_language_model_against_a_plain_one(spark):
     n, v = sum(uni.values()), len(uni)
     ones, twos = (sum(c == k for c in bi.values()) for k in (1, 2))
     discount = ones / (ones + 2 * twos)
-    kept = {k: c for k, c in bi.items() if c >= 2}
+    kept = dict(bi)
     taken = Counter()
     for (a, _), c in kept.items():
         taken[a] += (c - discount) / uni[a]
