@@ -11,10 +11,13 @@ what is already alone:
 2. The second digit is the whole stretch that an anchor's windows cover.  Anchors whose
    stretch occurs twice are repeated as a whole.
 3. Only anchors that are alone by the second digit but not by the first are sorted by
-   single windows; stretches that occur often go there once.
+   single windows; stretches that occur often go there once.  Windows that a hash tells
+   apart go; the others are ordered by content, eight bytes a pass from the first to the
+   last, and what no pass has separated is equal (``equal_windows``).
 
 Groups are counted by aggregates that combine before the shuffle.  A gram with very many
-different stretches is dealt over several tasks, whose window counts are then added up.
+different stretches is dealt over several tasks, whose window counts are then added up;
+there, and where a stretch occurs twice, equality is that of 128 bits of two hashes.
 """
 
 from __future__ import annotations
@@ -146,6 +149,44 @@ def window_hashes(blocks: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
     return ranges.hash(start, start + length), block, inner
 
 
+def equal_windows(data: np.ndarray, group: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Marks the windows that equal another one of their group, by most-significant-digit passes.
+
+    A digit is eight bytes.  A group whose windows agree in it is left as it is, any other
+    is sorted by it and falls into groups of its own; a window alone in its group is out.
+    """
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    words = np.lib.stride_tricks.as_strided(data[:max(len(data) - 7, 0)].view(), (max(len(data) - 7, 0), 8), (1, 1)) if len(data) > 7 else data.reshape(0, 8)
+
+    def not_alone(g: np.ndarray) -> np.ndarray:
+        same = g[1:] == g[:-1]
+        return np.append(same, False) | np.append(False, same)
+
+    keep = not_alone(group) if len(group) else np.zeros(0, bool)
+    order, group = order[keep], group[keep]
+    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        if not len(order):
+            break
+        digit = np.ascontiguousarray(words[start[order] + at]).view(">u8").ravel().astype(np.uint64)
+        apart = (group[1:] == group[:-1]) & (digit[1:] != digit[:-1])
+        if not apart.any():
+            continue
+        number = np.cumsum(np.append(0, group[1:] != group[:-1]))
+        mixed = np.zeros(number[-1] + 1, bool)
+        mixed[number[1:][apart]] = True
+        touched = np.flatnonzero(mixed[number])
+        moved = touched[np.lexsort((digit[touched], number[touched]))]
+        order[touched], digit[touched] = order[moved], digit[moved]  # number is the same along a group
+        fresh = np.append(True, (number[1:] != number[:-1]) | (digit[1:] != digit[:-1]))
+        group = np.cumsum(fresh)
+        keep = not_alone(group)
+        order, group = order[keep], group[keep]
+    out = np.zeros(len(start), bool)
+    out[order] = True
+    return out
+
+
 def _windows(length: int):
     """Window groups of sorted stretches.
 
@@ -163,11 +204,8 @@ def _windows(length: int):
         start = (place >> 16)[block] + inner
         if parts:
             return [k.view(np.int64), key[block], start, np.ones(len(k), np.int64), many[block]]
-        order = np.argsort(k, kind="stable")
-        same = np.zeros(len(k), bool)
-        equal = k[order][1:] == k[order][:-1]
-        same[order[1:][equal]] = True
-        same[order[:-1][equal]] = True
+        first = np.cumsum([0, *map(len, blocks)])[block] + inner
+        same = equal_windows(np.frombuffer(b"".join(blocks), np.uint8), k, first, length)
         # What is marked in a lone stretch lies in runs: one row a run.
         mark = same & ~many[block]
         inside = np.zeros(len(k), bool)
@@ -218,10 +256,11 @@ def repeated_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ``docs`` has row_key and text.  Rows that share a row_key count as so many texts.
     """
-    found = anchors(docs, length)
+    found = stored(anchors(docs, length), "all-anchors")
     # First digit.  Both sides of the join are then dealt for it alone, so a hot gram can be split.
     grams = stored(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
     again = stored(found.join(grams, "gram", "left_semi"), "anchors")
+    discard(found, grams)
     # Second digit.
     by_stretch = again.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "place")).alias("one"))
     kinds = by_stretch.groupBy("gram").agg(F.count("*").alias("kinds"))
@@ -244,7 +283,7 @@ def repeated_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = again.join(digits.filter("many").select("gram", "stretch"), ["gram", "stretch"]).select(
         "row_key", F.shiftright("place", 16).alias("start"), (F.col("place").bitwiseAND(255) + 1).alias("size"))
     runs = stored(whole.unionByName(local).unionByName(wide), "runs")
-    discard(grams, again, digits, windows)
+    discard(again, digits, windows)
     return runs
 
 

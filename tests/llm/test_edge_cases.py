@@ -70,6 +70,26 @@ def test_suffix_dedup_splits_a_gram_over_tasks(spark, monkeypatch):
     assert rows(out, "*") == sorted(brute.op1(texts), key=str)
 
 
+@pytest.mark.parametrize("length", [8, 20, 64, 65])
+def test_windows_are_ordered_by_content(length):
+    """Groups that hold different windows, as equal hashes would, fall apart byte by byte."""
+    rng = np.random.default_rng(length)
+    for letters in (2, 3):
+        data = rng.integers(0, letters, 3000).astype(np.uint8)
+        data[1000:1400] = data[200:600]
+        data[2000:2300] = data[250:550]
+        start = np.arange(len(data) - length + 1)
+        for groups in (1, 5, 10**6):
+            group = start * 0 if groups == 1 else (data[start] if groups == 5 else start)
+            seen = {}
+            for i, g in zip(start, group):
+                seen.setdefault((int(g), data[i:i + length].tobytes()), []).append(i)
+            want = np.zeros(len(start), bool)
+            want[[i for same in seen.values() if len(same) > 1 for i in same]] = True
+            assert (suffix_dedup.equal_windows(data, np.asarray(group, np.uint64), start, length) == want).all()
+    assert not len(suffix_dedup.equal_windows(np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64), length))
+
+
 def test_language_model(docs, empty):
     out = {}
     for r in ngram_lm.language_scores(docs).collect():
