@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, only_text, process_state, shared_folder, stored, text_bytes
+from .common import crc_mod, discard, only_text, process_state, shared_folder, stored, text_bytes
 from .elias_fano import EliasFano, coded, mapped, pack, prefixed
 from .numhash import Words, mix, text_groups
 
@@ -200,6 +200,8 @@ def _files(rows: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame,
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = rows.schema
     rows.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    del rows
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of this step go
     kept = spark.read.schema(schema).parquet(path)
     files = kept.inputFiles()
     for f in files:
@@ -233,9 +235,8 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Levels:
         return pa.table({"shard": pa.array([shard], pa.int32()), "words": [len(keys)], "tokens": [int(counts.sum())], "blob": pa.array([blob], pa.binary())})
 
     part = "part int, keys binary, counts binary"
-    words = docs.select("text").mapInArrow(count_words, part).groupBy("part").applyInArrow(
-        word_level, "shard int, words long, tokens long, blob binary")
-    kept, files = _files(words, spark, "words")
+    kept, files = _files(docs.select("text").mapInArrow(count_words, part).groupBy("part").applyInArrow(
+        word_level, "shard int, words long, tokens long, blob binary"), spark, "words")
     sizes = {r["shard"]: (r["words"], r["tokens"]) for r in kept.select("shard", "words", "tokens").collect()}
     in_shards = [sizes.get(s, (0, 0)) for s in range(shards)]
     offsets = np.cumsum([0, *(w for w, _ in in_shards)])
@@ -292,8 +293,8 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Levels:
 
     # Every shard with words has a second level, if an empty one.
     empty = kept.select(F.col("shard").alias("part"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
-    second = pairs.filter("part >= 0").unionByName(empty).groupBy("part").applyInArrow(pair_level, "shard int, blob binary")
-    _, pair_files = _files(second, spark, "successors")
+    _, pair_files = _files(pairs.filter("part >= 0").unionByName(empty).groupBy("part").applyInArrow(pair_level, "shard int, blob binary"), spark, "successors")
+    discard(pairs)
     return Levels(levels.shards, levels.words, levels.tokens, levels.offsets, files, pair_files)
 
 
