@@ -127,6 +127,11 @@ def pack(arrays: dict[str, np.ndarray]) -> bytes:
     return b"".join([MAGIC, *(x.to_bytes(8, "little") for x in (len(head), at, zlib.crc32(head))), head, *parts])
 
 
+def packed(blob: bytes) -> dict[str, np.ndarray]:
+    """The arrays of one blob in memory."""
+    return next(_blobs(blob))
+
+
 def mapped(path: str):
     """The arrays of every blob of a file, mapped: only pages that are read come into memory.
 
@@ -134,6 +139,10 @@ def mapped(path: str):
     """
     with open(path, "rb") as f:
         data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    yield from _blobs(data)
+
+
+def _blobs(data):
     at = data.find(MAGIC)
     while at >= 0:
         start = at + len(MAGIC) + 24

@@ -2,20 +2,21 @@
 
 The model is an interpolated bigram model with absolute discounting over an add-one
 unigram model.  Words are numbered by shard (a hash range) and rank.  The first level of
-the trie holds the words of a shard: their hashes, counts, back-off weights, and
-monotone pointers to their successors.  The second level holds the successors of all
-words, as pointer * V + word, which is monotone, with quantised log probabilities.
-Hashes, pointers and successors are Elias-Fano coded.
-
-Counting is a shuffle of tallies (each task sends what it has added up), in ranges by
-hash, so that neither a frequent word nor a frequent pair is hot.  Every level is written
-to the shared folder, uncompressed, so that a blob lies in its file as it is; executors
-fetch the files once and map them.  Memory holds one group of texts and the pages it
-touches, whatever the size of the model.
-
-All pairs of training are kept; a caller may leave those that occur less than
-``min_count`` times to the back-off, whose weight then takes their mass.  Either way the
-probabilities of a context add up to one.
+the trie holds the words of a shard: their hashes and counts.  It is written to the
+shared folder, uncompressed, so that a blob lies in its file as it is; executors fetch
+these files once and map them.  The second level is cut into parts by context, a word of
+very many occurrences into several by its successors.  A part holds its contexts,
+their back-off weights, monotone pointers to their successors, and those as pointer * M
++ word, which is monotone as well, with quantised log probabilities.  Hashes, contexts,
+pointers and successors are Elias-Fano coded.
+
+Counting is a shuffle of tallies: each task sends what it has added up.  No task and no
+executor ever needs the second level as a whole: a text sends its pairs to their parts,
+Elias-Fano coded, each part is searched where it is, one row of pairs after the other,
+and sends back a sum for each text.  Tallies, pairs and parts grow with the input, and
+so do the parts in number; what a task holds at a time does not.
+
+All pairs of training are kept, and the probabilities of a context add up to one.
 """
 
 from __future__ import annotations
@@ -26,21 +27,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, discard, only_text, process_state, shared_folder, stored, text_bytes
-from .elias_fano import EliasFano, coded, mapped, pack, prefixed
+from .elias_fano import EliasFano, coded, mapped, pack, packed, prefixed
 from .numhash import Words, mix, text_groups
 
 MOD, HELD_OUT = 7, 2
-#: Pairs that occur less often are left to the back-off; 1 keeps all.
-MIN_COUNT = 1
-#: Shards of the levels for each input partition.
-SHARDS = 4
 #: Bytes of text that are looked up together, and tallies a task holds before it sends them.
 TOGETHER, TALLIES = 8 << 20, 4_000_000
+#: Training tokens of a part of the second level, and of a context in one part.
+PART_TOKENS, CONTEXT_TOKENS = 1 << 20, 1 << 18
 #: Log probabilities are multiples of this, down to -16.
 STEP = 1 / 4096
 END = np.uint64(0)
@@ -117,33 +116,38 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Levels:
-    """Where the model is: its files and what they add up to."""
+    """Where the first level is: its files and what they add up to."""
 
     shards: int
     words: int
     tokens: int
     offsets: tuple[int, ...]
     word_files: tuple[str, ...]
-    pair_files: tuple[str, ...] = ()
 
-    def opened(self) -> Trie:
-        """The levels, mapped once in each process."""
+    @property
+    def parts(self) -> int:
+        return max(8, -(-self.tokens // PART_TOKENS))
+
+    @property
+    def base(self) -> np.uint64:
+        """A pair is context * base + word; the word ``words`` is any that is not in training."""
+        return np.uint64(self.words + 1)
+
+    def opened(self) -> Vocabulary:
+        """The first level, mapped once in each process."""
         state = process_state()
-        if state.get("trie_of") != (self.word_files, self.pair_files):
-            state["trie"], state["trie_of"] = Trie(self), (self.word_files, self.pair_files)
-        return state["trie"]
+        if state.get("words_of") != self.word_files:
+            state["words"], state["words_of"] = Vocabulary(self), self.word_files
+        return state["words"]
 
 
-class Trie:
-    """The mapped levels."""
+class Vocabulary:
+    """The mapped first level."""
 
     def __init__(self, levels: Levels):
         self.levels = levels
-        blobs = lambda names: {int(b["shard"][0]): b for f in names for b in mapped(SparkFiles.get(f))}
-        self.word_blobs, self.pair_blobs = blobs(levels.word_files), blobs(levels.pair_files)
-        self.hashes = {s: coded("hashes", b) for s, b in self.word_blobs.items()}
-        self.pointers = {s: coded("pointers", b) for s, b in self.pair_blobs.items()}
-        self.successors = {s: coded("successors", b) for s, b in self.pair_blobs.items()}
+        self.blobs = {int(b["shard"][0]): b for f in levels.word_files for b in mapped(SparkFiles.get(f))}
+        self.hashes = {s: coded("hashes", b) for s, b in self.blobs.items()}
         self.offsets = np.array(levels.offsets)
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,38 +160,53 @@ class Trie:
             if a < b:
                 at, known = words.successor(hashes[a:b])
                 out[a:b][known] = self.offsets[s] + at[known]
-                count[a:b][known] = self.word_blobs[s]["counts"][at[known]]
+                count[a:b][known] = self.blobs[s]["counts"][at[known]]
         return out, count
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
-        shard = np.searchsorted(self.offsets, ids, side="right") - 1
-        out = np.zeros(len(ids), np.int64)
-        for s in np.unique(shard):
-            mine = shard == s
-            out[mine] = self.word_blobs[int(s)]["counts"][ids[mine] - self.offsets[s]]
-        return out
+        """Count of each number; zero for numbers of no word."""
+        unique, each = np.unique(ids, return_inverse=True)
+        cuts = np.searchsorted(unique, np.append(self.offsets, self.levels.words))
+        out = np.zeros(len(unique), np.int64)
+        for s in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[s], cuts[s + 1]
+            out[a:b] = self.blobs[int(s)]["counts"][unique[a:b] - self.offsets[s]]
+        return out[each]
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.levels.tokens + self.levels.words + 1))
 
-    def log_probability(self, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 p(word | context), contexts sorted; -1 is a word not in training."""
-        out = self.unigram(count)
-        shard = np.searchsorted(self.offsets, context, side="right") - 1
-        shard[context < 0] = -1
-        cuts = np.searchsorted(shard, np.arange(self.levels.shards + 1))
-        for s, blob in self.pair_blobs.items():
-            a, b = cuts[s], cuts[s + 1]
-            if a == b:
-                continue
-            local, each = np.unique(context[a:b] - self.offsets[s], return_inverse=True)
-            first, end = (self.pointers[s].access(local + k).astype(np.int64)[each] for k in (0, 1))
-            w = word[a:b]
-            key = first.astype(np.uint64) * np.uint64(self.levels.words) + np.maximum(w, 0).astype(np.uint64)
-            at, found = self.successors[s].successor(key, first, end)
-            found &= (w >= 0) & (first < end)
-            back = blob["back_off"][local][each] * -STEP
-            out[a:b] = np.where(found, blob["scores"][np.minimum(at, max(len(blob["scores"]) - 1, 0))] * -STEP if len(blob["scores"]) else 0, out[a:b] + back)
+    def part_of(self, context: np.ndarray, count: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The part of a pair, from the context's count: a context of many goes to several, by word."""
+        pieces = np.maximum(-(-count // CONTEXT_TOKENS), 1)
+        piece = np.where(pieces > 1, (mix(word.astype(np.uint64)) % pieces.astype(np.uint64)).astype(np.int64), 0)
+        return self.part(context, piece)
+
+    def part(self, context: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return (mix(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + piece.astype(np.uint64)) % np.uint64(self.levels.parts)).astype(np.int64)
+
+
+class Part:
+    """A part of the second level."""
+
+    def __init__(self, blob: dict[str, np.ndarray], words: Vocabulary):
+        self.blob, self.words = blob, words
+        self.contexts, self.pointers, self.successors = (coded(n, blob) for n in ("contexts", "pointers", "successors"))
+
+    def log_probability(self, pairs: np.ndarray) -> np.ndarray:
+        """log10 p(word | context) of sorted pairs, by a search among the successors of the context."""
+        base = self.words.levels.base
+        context, word = pairs // base, pairs % base
+        unique, each = np.unique(context, return_inverse=True)
+        local, known = self.contexts.successor(unique)
+        if not known.all():
+            raise ValueError("a context of training is not in its part")
+        first, end = (self.pointers.access(local + k).astype(np.int64)[each] for k in (0, 1))
+        at, found = self.successors.successor(first.astype(np.uint64) * base + word, first, end)
+        found &= first < end
+        out = self.words.unigram(self.words.counts(word.astype(np.int64))) + self.blob["back_off"][local][each] * -STEP
+        if len(self.blob["scores"]):
+            out = np.where(found, self.blob["scores"][np.minimum(at, len(self.blob["scores"]) - 1)] * -STEP, out)
         return out
 
 
@@ -209,10 +228,10 @@ def _files(rows: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame,
     return kept, tuple(os.path.basename(f) for f in files)
 
 
-def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Levels:
-    """Learn from all rows of ``docs`` (text); the levels stay in the shared folder."""
+def train_words(docs: DataFrame) -> Levels:
+    """The first level, learned from all rows of ``docs`` (text); it stays in the shared folder."""
     spark = docs.sparkSession
-    shards = max(8, SHARDS * docs.rdd.getNumPartitions())
+    shards = max(8, docs.rdd.getNumPartitions())
 
     def count_words(batches):
         tally = Tally()
@@ -234,74 +253,97 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Levels:
                      **prefixed("hashes", EliasFano.of(keys))})
         return pa.table({"shard": pa.array([shard], pa.int32()), "words": [len(keys)], "tokens": [int(counts.sum())], "blob": pa.array([blob], pa.binary())})
 
-    part = "part int, keys binary, counts binary"
-    kept, files = _files(docs.select("text").mapInArrow(count_words, part).groupBy("part").applyInArrow(
+    kept, files = _files(docs.select("text").mapInArrow(count_words, TALLY_ROW).groupBy("part").applyInArrow(
         word_level, "shard int, words long, tokens long, blob binary"), spark, "words")
     sizes = {r["shard"]: (r["words"], r["tokens"]) for r in kept.select("shard", "words", "tokens").collect()}
     in_shards = [sizes.get(s, (0, 0)) for s in range(shards)]
     offsets = np.cumsum([0, *(w for w, _ in in_shards)])
-    levels = Levels(shards, int(offsets[-1]), sum(t for _, t in in_shards), tuple(offsets[:-1].tolist()), files)
+    return Levels(shards, int(offsets[-1]), sum(t for _, t in in_shards), tuple(offsets[:-1].tolist()), files)
+
+
+TALLY_ROW = "part int, keys binary, counts binary"
 
+
+def train_pairs(docs: DataFrame, levels: Levels) -> DataFrame:
+    """The second level as rows (part, blob), stored; a part without pairs has no row."""
     def count_pairs(batches):
-        trie, tally = levels.opened(), Tally()
-        n = np.uint64(levels.words)
+        words, tally = levels.opened(), Tally()
+
         def rows():
             keys, counts = tally.take()
-            return _tally_rows(keys, counts, (mix(keys.copy()) % np.uint64(shards)).astype(np.int64))
+            context = (keys // levels.base).astype(np.int64)
+            return _tally_rows(keys, counts, words.part_of(context, words.counts(context), (keys % levels.base).astype(np.int64)))
+
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             for a, b in text_groups(texts, TOGETHER):
-                ids = numbered(trie, token_hashes(texts[a:b])[0])[0].astype(np.uint64)
-                tally.add(*np.unique(before(ids) * n + ids, return_counts=True))
+                ids = numbered(words, token_hashes(texts[a:b])[0])[0].astype(np.uint64)
+                tally.add(*np.unique(before(ids) * levels.base + ids, return_counts=True))
                 if tally.size > TALLIES:
                     yield rows()
         if tally.size:
             yield rows()
 
-    def keep_pairs(key, group):
+    def added(key, group):
+        """One row a part; for contexts that lie in several parts, how many successors are in this one."""
         keys, counts = _tallies(group)
-        often = counts >= min_count
-        ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
-        keys, counts = keys[often], counts[often]
-        shard = np.searchsorted(np.array(levels.offsets), (keys // np.uint64(levels.words)).astype(np.int64), side="right") - 1
-        batch = _tally_rows(keys, counts, shard)
-        extra = pa.array([np.array([ones, twos]).tobytes()], pa.binary())
-        sums = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), extra, extra], names=batch.schema.names)
-        return pa.Table.from_batches([batch, sums.cast(batch.schema)])
-
-    pairs = stored(docs.select("text").mapInArrow(count_pairs, part).groupBy("part").applyInArrow(keep_pairs, part), "pairs")
-    sums = np.array([np.frombuffer(r["keys"], np.int64) for r in pairs.filter("part = -1").select("keys").collect()]).reshape(-1, 2).sum(axis=0)
-    discount = sums[0] / (sums[0] + 2 * sums[1]) if sums[0] and sums[1] else 0.5
+        words = levels.opened()
+        context, kinds = np.unique((keys // levels.base).astype(np.int64), return_counts=True)
+        wide = words.counts(context) > CONTEXT_TOKENS
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([_narrow(counts)], pa.binary()),
+                         "ones": [int((counts == 1).sum())], "twos": [int((counts == 2).sum())],
+                         "wide": pa.array([context[wide]], pa.list_(pa.int64())), "kinds": pa.array([kinds[wide]], pa.list_(pa.int64()))})
+
+    pairs = stored(docs.select("text").mapInArrow(count_pairs, TALLY_ROW).groupBy("part").applyInArrow(
+        added, TALLY_ROW + ", ones long, twos long, wide array<long>, kinds array<long>"), "pairs")
+    ones, twos = pairs.agg(F.sum("ones"), F.sum("twos")).first()
+    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def to_parts(batches):
+        """The successors of a context in all, for each part that holds some of them."""
+        words = levels.opened()
+        for batch in batches:
+            context, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("context", "kinds"))
+            pieces = -(-words.counts(context) // CONTEXT_TOKENS)
+            each = np.repeat(np.arange(len(context)), pieces)
+            piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(words.part(context[each], piece).astype(np.int32)), pa.array(context[each]), pa.array(kinds[each])],
+                                             names=["part", "context", "kinds"])
+
+    wide = pairs.select(F.explode(F.arrays_zip("wide", "kinds")).alias("x")).groupBy(F.col("x.wide").alias("context")).agg(F.sum("x.kinds").alias("kinds"))
+    wide = wide.mapInArrow(to_parts, "part int, context long, kinds long")
+    rows = pairs.select("part", "keys", "counts", F.lit(None).cast("long").alias("context"), F.lit(None).cast("long").alias("kinds")).unionByName(
+        wide.select("part", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "context", "kinds"))
 
     def pair_level(key, group):
-        shard = int(key[0].as_py())
-        trie = levels.opened()
-        filled = [k for k, c in enumerate(group.column("keys").to_pylist()) if c]
-        keys, counts = _tallies(group.take(filled)) if filled else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        n = np.uint64(levels.words)
-        of = trie.word_blobs[shard]["counts"].astype(np.int64)
-        context = (keys // n).astype(np.int64) - levels.offsets[shard]
-        pointers = np.searchsorted(context, np.arange(len(of) + 1))
-        share = (counts - discount) / of[context]
-        back = 1 - np.bincount(context, share, minlength=len(of))
-        word = keys % n
-        p = share + back[context] * 10 ** trie.unigram(trie.counts(word.astype(np.int64)))
-        blob = pack({"shard": np.array([shard]), "back_off": quantised(np.log10(np.maximum(back, 1e-16))), "scores": quantised(np.log10(p)),
-                     **prefixed("pointers", EliasFano.of(pointers)),
-                     **prefixed("successors", EliasFano.of(pointers[context].astype(np.uint64) * n + word))})
-        return pa.table({"shard": pa.array([shard], pa.int32()), "blob": pa.array([blob], pa.binary())})
-
-    # Every shard with words has a second level, if an empty one.
-    empty = kept.select(F.col("shard").alias("part"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
-    _, pair_files = _files(pairs.filter("part >= 0").unionByName(empty).groupBy("part").applyInArrow(pair_level, "shard int, blob binary"), spark, "successors")
+        words = levels.opened()
+        tallies = group.filter(group.column("keys").is_valid())
+        keys, counts = _tallies(tallies) if len(tallies) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        more = group.filter(group.column("context").is_valid())
+        of_more = dict(zip(more.column("context").to_pylist(), more.column("kinds").to_pylist()))
+        context = (keys // levels.base).astype(np.int64)
+        contexts = np.union1d(context, np.array(list(of_more), np.int64)).astype(np.int64)
+        of = words.counts(contexts)
+        pointers = np.searchsorted(context, np.append(contexts, contexts[-1:] + 1)) if len(contexts) else np.zeros(1, np.int64)
+        kinds = np.array([of_more.get(c, k) for c, k in zip(contexts.tolist(), np.diff(pointers).tolist())])
+        back = discount * kinds / of  # every token has one after it, so the counts of a context add up to its own
+        local = np.searchsorted(contexts, context)
+        word = keys % levels.base
+        p = (counts - discount) / of[local] + back[local] * 10 ** words.unigram(words.counts(word.astype(np.int64)))
+        blob = pack({"back_off": quantised(np.log10(np.maximum(back, 1e-16))), "scores": quantised(np.log10(p)),
+                     **prefixed("contexts", EliasFano.of(contexts)), **prefixed("pointers", EliasFano.of(pointers)),
+                     **prefixed("successors", EliasFano.of(pointers[local].astype(np.uint64) * levels.base + word))})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
+
+    out = stored(rows.groupBy("part").applyInArrow(pair_level, "part int, blob binary"), "successors")
     discard(pairs)
-    return Levels(levels.shards, levels.words, levels.tokens, levels.offsets, files, pair_files)
+    return out
 
 
-def numbered(trie: Trie, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def numbered(words: Vocabulary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number and count of each token."""
     unique, each = np.unique(hashes, return_inverse=True)
-    ids, counts = trie.ids(unique)
+    ids, counts = words.ids(unique)
     return ids[each], counts[each]
 
 
@@ -313,46 +355,115 @@ def before(ids: np.ndarray) -> np.ndarray:
     return np.roll(ids, 1)
 
 
-def score_texts(trie: Trie, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """n_tokens, n_known, base_score and score of each text."""
-    n = len(texts)
-    hashes, text = token_hashes(texts)
-    ids, counts = numbered(trie, hashes)
-    base = trie.unigram(counts)
-    context = before(ids)
-    order = np.lexsort((ids, context))
-    c, w, k = context[order], ids[order], counts[order]
-    new = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))
-    log = trie.log_probability(c[new], w[new], k[new])[np.cumsum(new) - 1]
-    score = np.empty(len(ids))
-    score[order] = log
-    return (np.bincount(text, minlength=n), np.bincount(text, counts > 0, minlength=n).astype(np.int64),
-            np.bincount(text, base, minlength=n), np.bincount(text, score, minlength=n))
-
-
-def language_scores(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+SENT = "part int, kind int, chunk string, body binary"
+
+
+def sent_pairs(rows: DataFrame, levels: Levels) -> DataFrame:
+    """Rows for parts (kind 1: the pairs of a chunk of texts) and for nobody (kind 2: the chunk itself).
+
+    A chunk is named by its task and its number there, the same if the task is run again.
+    What needs no second level, sums over tokens after a word that is not in training, is
+    in the chunk.
+    """
+    names = ["part", "kind", "chunk", "body"]
+
+    def run(batches):
+        words = levels.opened()
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            texts = text_bytes(batch.column("text"))
+            for a, b in text_groups(texts, TOGETHER):
+                hashes, text = token_hashes(texts[a:b])
+                ids, counts = numbered(words, hashes)
+                base, n = words.unigram(counts), b - a
+                context = before(ids)
+                open_ = context >= 0
+                chunk = pack({"doc_id": _numbers(batch.column("doc_id").slice(a, n)), "has_id": np.array(batch.column("doc_id").slice(a, n).is_valid()).astype(np.uint8),
+                              "held_out": np.array(batch.column("held_out").slice(a, n)).astype(np.uint8),
+                              "n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, counts > 0, minlength=n).astype(np.int64),
+                              "base": np.bincount(text, base, minlength=n), "score": np.bincount(text[~open_], base[~open_], minlength=n).astype(np.float64)})
+                name = f"{task}-{number}"
+                number += 1
+                out = [(-1 - number % 1024, 2, name, chunk)]
+                w = np.where(ids < 0, levels.words, ids)[open_]
+                pairs = context[open_].astype(np.uint64) * levels.base + w.astype(np.uint64)
+                part = words.part_of(context[open_], before(counts)[open_], w)
+                order = np.lexsort((pairs, part))
+                pairs, part, doc = pairs[order], part[order], text[open_][order].astype(np.uint16 if n < 1 << 16 else np.uint32)
+                cuts = np.flatnonzero(np.diff(part)) + 1
+                for i, j in zip([0, *cuts], [*cuts, len(part)]):
+                    if i < j:
+                        out.append((int(part[i]), 1, name, pack({"doc": doc[i:j], **prefixed("pairs", EliasFano.of(pairs[i:j]))})))
+                for i in range(0, len(out), 256):
+                    columns = zip(*out[i:i + 256])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.binary()))], names=names)
+
+    return rows.mapInArrow(run, SENT)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def searched(levels: Levels):
+    """Sums of log probabilities for each text of a chunk, from rows in order of part and kind."""
+    names = ["chunk", "kind", "body"]
+
+    def run(batches):
+        words, part, number = levels.opened(), None, None
+        for batch in batches:
+            out = []
+            for p, kind, chunk, body in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "chunk", "body"))):
+                if kind == 2:
+                    out.append((chunk, 2, body))
+                elif kind == 0:
+                    part, number = Part(packed(body), words), p
+                else:
+                    if number != p:
+                        raise ValueError(f"part {p} is missing")
+                    arrays = packed(body)
+                    pairs = coded("pairs", arrays)
+                    log = part.log_probability(pairs.access(np.arange(pairs.n)))
+                    doc, each = np.unique(arrays["doc"], return_inverse=True)
+                    out.append((chunk, 1, pack({"doc": doc, "sum": np.bincount(each, log).astype(np.float32)})))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.binary()))], names=names)
+
+    return run
+
+
+def language_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     The model learns from rows whose crc32(doc_id as text) mod 7 is not 2; a null id
     counts as the empty text.  A null or empty text is its end alone.  Words not in
-    training have the probability of a count of zero in any context.  Repeated rows count
-    as often as they occur and each give a row; without training rows every token has
-    probability one.  An empty table gives an empty result; other columns are not read.
+    training have the probability of a count of zero, after one of these as the unigram
+    has it.  Repeated rows count as often as they occur and each give a row; without
+    training rows every token has probability one.  An empty table gives an empty
+    result; other columns are not read.
     """
     rows = only_text(docs)
     held_out = crc_mod(F.col("doc_id"), MOD) == HELD_OUT
-    levels = train(rows.filter(~held_out), min_count)
+    levels = train_words(rows.filter(~held_out))
+    parts = train_pairs(rows.filter(~held_out), levels)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def run(batches):
-        trie = levels.opened()
-        for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            for a, b in text_groups(texts, TOGETHER):
-                found = score_texts(trie, texts[a:b])
-                kept = [batch.column(n).slice(a, b - a) for n in ("doc_id", "held_out")]
-                sums = [pa.array(x) for x in (*found[:2], np.full(b - a, levels.tokens), *found[2:])]
-                yield pa.RecordBatch.from_arrays([*kept, *sums], names=names)
-
-    return rows.withColumn("held_out", held_out).mapInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def summed(key, group):
+        kinds, bodies = group.column("kind").to_pylist(), group.column("body").to_pylist()
+        chunk = packed(bodies[kinds.index(2)])
+        score = chunk["score"].copy()
+        for kind, body in zip(kinds, bodies):
+            if kind == 1:
+                more = packed(body)
+                np.add.at(score, more["doc"].astype(np.int64), more["sum"].astype(np.float64))
+        ids = pa.array(chunk["doc_id"], mask=chunk["has_id"] == 0)
+        return pa.table([ids, pa.array(chunk["held_out"] == 1), pa.array(chunk["n_tokens"].astype(np.int64)), pa.array(chunk["n_known"]),
+                         pa.array(np.full(len(score), levels.tokens)), pa.array(chunk["base"]), pa.array(score)], names=names)
+
+    blobs = parts.select("part", F.lit(0).alias("kind"), F.lit("").alias("chunk"), F.col("blob").alias("body"))
+    sent = sent_pairs(rows.withColumn("held_out", held_out), levels).unionByName(blobs)
+    # a part comes before its pairs, which pass it one row at a time
+    sums = sent.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(searched(levels), "chunk string, kind int, body binary")
+    # a chunk is about TOGETHER bytes of text, or one text
+    return sums.groupBy("chunk").applyInArrow(
+        summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
