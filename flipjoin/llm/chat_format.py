@@ -53,14 +53,18 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
 
 
-def field_paths(record: Column) -> Column:
+def fields_of(record: Column) -> Column:
+    """The values of a JSON object by name, as text; null where it cannot be read."""
+    return F.from_json(record, "map<string,string>", WHOLE)
+
+
+def field_paths(record: Column, values: Column) -> Column:
     """The field paths of a JSON text: names, and names below the objects of lists.
 
-    Every list element counts, so a record whose messages differ in shape has the
-    paths of all of them.
+    ``values`` is ``fields_of`` the record.  Every list element counts, so a record whose
+    messages differ in shape has the paths of all of them.
     """
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    values = F.from_json(record, "map<string,string>", WHOLE)
 
     def below(name: Column) -> Column:
         rows = F.coalesce(F.from_json(values[name], "array<string>", WHOLE), F.array().cast("array<string>"))
@@ -71,18 +75,13 @@ def field_paths(record: Column) -> Column:
     return F.concat(top, F.flatten(F.transform(listed, below)))
 
 
-def _parsed(layout: Layout, record: Column) -> Column:
-    """Whether the values of a record that fits by its names can be read."""
-    values = F.from_json(record, "map<string,string>", WHOLE)
-    return values.isNotNull() if layout.messages is None else _turns_of(layout, record).isNotNull()
-
-
-def _turns_of(layout: Layout, record: Column) -> Column:
-    values = F.from_json(record, "map<string,string>", WHOLE)
+def _turns_of(layout: Layout, values: Column) -> Column:
+    """The turns of a record of this layout; null where its values cannot be read."""
     empty = F.lit("")
     if layout.messages is None:
-        return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(values[path], empty).alias("text"))
-                         for role, path in layout.single]).cast(f"array<{TURN}>")
+        turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(values[path], empty).alias("text"))
+                          for role, path in layout.single]).cast(f"array<{TURN}>")
+        return F.when(values.isNotNull(), turns)
     path, role, text = layout.messages
     rows = F.from_json(values[path], f"array<struct<`{role}`:string,`{text}`:string>>", WHOLE)
 
@@ -102,13 +101,15 @@ def canonical_turns(df: DataFrame, record: str = "record", layouts: tuple[Layout
     A record that is null, no JSON object, or of no known layout has layout null and
     turns null; it stays in the result.  Null texts and roles count as empty.
     """
-    marked = df.withColumn("fingerprint", fingerprint(field_paths(F.col(record))))
+    # A record is read once, and the list of the layout that fits once; both are columns, which Spark does not compute again.
+    marked = df.withColumn("__values", fields_of(F.col(record))).withColumn("fingerprint", fingerprint(field_paths(F.col(record), F.col("__values"))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
     for x in reversed(layouts):
-        hit = (F.col("fingerprint") == fingerprint(F.array(*map(F.lit, x.paths)))) & _parsed(x, F.col(record))
+        hit = F.col("fingerprint") == fingerprint(F.array(*map(F.lit, x.paths)))
         layout = F.when(hit, x.name).otherwise(layout)
-        turns = F.when(hit, _turns_of(x, F.col(record))).otherwise(turns)
-    return marked.withColumns({"layout": layout, "turns": turns})
+        turns = F.when(hit, _turns_of(x, F.col("__values"))).otherwise(turns)
+    named = marked.withColumn("turns", turns).withColumn("layout", F.when(F.col("turns").isNotNull(), layout))
+    return named.select(*[c for c in df.columns if c not in ("fingerprint", "layout", "turns")], "fingerprint", "layout", "turns")
 
 
 def escaped(text: Column) -> Column:

@@ -65,7 +65,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_records(conversations: DataFrame) -> DataFrame:
     """conv_id and a JSON record: a layout of two texts where it fits, else messages.
 
-    Rows are ordered by turn, then by role and text; null roles and texts are empty.
+    Rows are ordered by turn (null first), then by role and text; null roles and texts
+    are empty.  Rows without a conv_id are one conversation; repeated rows are turns of
+    their own; other columns are not read.
     """
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                    F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))

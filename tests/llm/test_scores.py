@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pytest
 
+from flipjoin.llm import ngram_lm
 from flipjoin.llm.elias_fano import EliasFano, coded, mapped, pack, prefixed
 from flipjoin.llm.queries import QUERIES
 from flipjoin.llm.common import table
@@ -78,3 +79,36 @@ def test_elias_fano(tmp_path, n, universe):
         first, end = np.full(len(ask), 50), np.full(len(ask), 90)
         _, equal = ef.successor(ask, first, end)
         assert (equal == np.isin(ask, values[50:90])).all()
+
+
+@needs_tables
+def test_language_model_in_many_parts(spark, monkeypatch):
+    """Small parts, contexts that lie in several, and chunks of a few texts give the same scores."""
+    whole = {r["doc_id"]: r for r in QUERIES["op2_language_model"](spark, SMALL).collect()}
+    for name, value in {"PART_TOKENS": 500, "CONTEXT_TOKENS": 40, "TOGETHER": 20_000, "TALLIES": 3000}.items():
+        monkeypatch.setattr(ngram_lm, name, value)
+    found = QUERIES["op2_language_model"](spark, SMALL).collect()
+    assert len(found) == len(whole)
+    for r in found:
+        w = whole[r["doc_id"]]
+        assert tuple(r)[:5] == tuple(w)[:5]
+        # the token before the first text of a chunk is an end in either case
+        assert r["base_score"] == pytest.approx(w["base_score"]) and r["score"] == pytest.approx(w["score"], abs=3e-4 * w["n_tokens"])
+
+
+def test_language_model_of_odd_rows(spark):
+    """Repeated rows and null ids, training rows only, held-out rows only."""
+    ids = [i for i in range(60) if brute.crc_mod(i, 7) != 2]
+    held = [i for i in range(60) if brute.crc_mod(i, 7) == 2]
+    text = "a b a b c"
+    rows = [(ids[0], text), (ids[0], text), (None, text), (held[0], "a b x y"), (ids[1], "A  b\n"), (ids[2], None), (held[1], "")]
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double").repartition(2)
+    found = sorted(map(tuple, ngram_lm.language_scores(df).collect()), key=str)
+    assert len(found) == len(rows) and len({r for r in found if r[0] == ids[0]}) == 1
+    by_id = {r[0]: r for r in found}
+    # 3 * 6 + 3 + 1 training tokens; a null id is the empty text, which is not held out
+    assert by_id[None][1] is False and by_id[None][2:5] == (6, 6, 22) and by_id[None][6] == pytest.approx(by_id[ids[0]][6], abs=0.01)
+    assert by_id[held[0]][1] is True and by_id[held[0]][2:4] == (5, 3)
+    assert by_id[ids[2]][2] == by_id[held[1]][2] == 1
+    only = ngram_lm.language_scores(spark.createDataFrame([(held[0], "a b")], "doc_id long, text string")).collect()
+    assert [tuple(r)[1:] for r in only] == [(True, 3, 0, 0, 0.0, 0.0)]
