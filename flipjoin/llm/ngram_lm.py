@@ -128,6 +128,11 @@ class Levels:
     def parts(self) -> int:
         return max(8, -(-self.tokens // PART_TOKENS))
 
+    @property
+    def tasks(self) -> int:
+        """Shuffle partitions for rows by part: few parts fall together, at any size."""
+        return 2 * self.parts
+
     @property
     def base(self) -> np.uint64:
         """A pair is context * base + word; the word ``words`` is any that is not in training."""
@@ -294,7 +299,7 @@ def train_pairs(docs: DataFrame, levels: Levels) -> DataFrame:
                          "ones": [int((counts == 1).sum())], "twos": [int((counts == 2).sum())],
                          "wide": pa.array([context[wide]], pa.list_(pa.int64())), "kinds": pa.array([kinds[wide]], pa.list_(pa.int64()))})
 
-    pairs = stored(docs.select("text").mapInArrow(count_pairs, TALLY_ROW).groupBy("part").applyInArrow(
+    pairs = stored(docs.select("text").mapInArrow(count_pairs, TALLY_ROW).repartition(levels.tasks, "part").groupBy("part").applyInArrow(
         added, TALLY_ROW + ", ones long, twos long, wide array<long>, kinds array<long>"), "pairs")
     ones, twos = pairs.agg(F.sum("ones"), F.sum("twos")).first()
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
@@ -335,7 +340,7 @@ def train_pairs(docs: DataFrame, levels: Levels) -> DataFrame:
                      **prefixed("successors", EliasFano.of(pointers[local].astype(np.uint64) * levels.base + word))})
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
-    out = stored(rows.groupBy("part").applyInArrow(pair_level, "part int, blob binary"), "successors")
+    out = stored(rows.repartition(levels.tasks, "part").groupBy("part").applyInArrow(pair_level, "part int, blob binary"), "successors")
     discard(pairs)
     return out
 
@@ -463,7 +468,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
     blobs = parts.select("part", F.lit(0).alias("kind"), F.lit("").alias("chunk"), F.col("blob").alias("body"))
     sent = sent_pairs(rows.withColumn("held_out", held_out), levels).unionByName(blobs)
     # a part comes before its pairs, which pass it one row at a time
-    sums = sent.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(searched(levels), "chunk string, kind int, body binary")
+    sums = sent.repartition(levels.tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(searched(levels), "chunk string, kind int, body binary")
     # a chunk is about TOGETHER bytes of text, or one text
     return sums.groupBy("chunk").applyInArrow(
         summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
