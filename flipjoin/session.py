@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +41,15 @@ def shuffle_partitions(rows: int, replication: int, words: int = 1) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """A folder every executor can reach.
 
-    It is the one named by ``spark.checkpoint.dir``, otherwise the session's warehouse.
+    It is the one named by ``spark.checkpoint.dir``, otherwise the session's warehouse.  On a
+    cluster a warehouse on the local disk is refused: each machine would see its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        local = not re.match("[a-z0-9]+:", folder) or folder.startswith("file:")
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
 
 

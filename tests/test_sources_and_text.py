@@ -196,6 +196,26 @@ def test_shared_folder(spark):
     assert shared_folder(Session()) == "hdfs://warehouse"
 
 
+@pytest.mark.parametrize("folder", ["/data/warehouse", "file:/data/warehouse/"])
+@pytest.mark.parametrize("master,fits", [("local[4]", True), ("spark://host:7077", False), ("yarn", False)])
+def test_no_local_warehouse_on_a_cluster(folder, master, fits):
+    class Session:
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return {"spark.sql.warehouse.dir": folder}.get(name, default)
+
+        class sparkContext:
+            pass
+
+    Session.sparkContext.master = master
+    if fits:
+        assert shared_folder(Session()) == folder.rstrip("/")
+    else:
+        with pytest.raises(ValueError):
+            shared_folder(Session())
+
+
 def test_shuffle_partitions():
     assert shuffle_partitions(0, 4) == 1
     assert shuffle_partitions(10 ** 9, 7) > shuffle_partitions(10 ** 9, 2) > 100
