@@ -12,6 +12,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: The white space of every contract: blank, tab, newline, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -32,8 +34,7 @@ def only_text(docs: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return folder.rstrip("/")
+    return session.shared_folder(spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
