@@ -24,7 +24,7 @@ from .common import only_text, process_state, stored
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces that one task packs.
-GROUP_PIECES = 1 << 16
+GROUP_PIECES = 1 << 14
 #: The public pattern of the byte-level vocabulary (fixed value), without its look-ahead.
 SINGLE_SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 
