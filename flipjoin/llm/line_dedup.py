@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
 
 import numpy as np
 import pandas as pd
