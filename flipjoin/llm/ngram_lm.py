@@ -16,6 +16,10 @@ Elias-Fano coded, each part is searched where it is, one row of pairs after the
 and sends back a sum for each text.  Tallies, pairs and parts grow with the input, and
 so do the parts in number; what a task holds at a time does not.
 
+Pairs that make up a fixed share of all tokens, of which there can be only so many, are
+looked up in the trie once and their scores sent to everyone, so a pair that most texts
+hold does not go to one task over and over.
+
 All pairs of training are kept, and the probabilities of a context add up to one.
 """
 
@@ -40,6 +44,8 @@ MOD, HELD_OUT = 7, 2
 TOGETHER, TALLIES = 8 << 20, 4_000_000
 #: Training tokens of a part of the second level, and of a context in one part.
 PART_TOKENS, CONTEXT_TOKENS = 1 << 20, 1 << 18
+#: A pair that is more than one in so many tokens, and occurs more than so often, is known everywhere.
+FREQUENT, FREQUENT_LEAST = 1 << 16, 64
 #: Log probabilities are multiples of this, down to -16.
 STEP = 1 / 4096
 END = np.uint64(0)
@@ -116,17 +122,17 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Levels:
-    """Where the first level is: its files and what they add up to."""
+    """Where the first level is: its files and what they add up to, and how the second is cut."""
 
     shards: int
     words: int
     tokens: int
     offsets: tuple[int, ...]
     word_files: tuple[str, ...]
-
-    @property
-    def parts(self) -> int:
-        return max(8, -(-self.tokens // PART_TOKENS))
+    parts: int
+    context_tokens: int
+    #: Occurrences that a pair known everywhere exceeds; fewer than FREQUENT pairs can.
+    frequent: int
 
     @property
     def tasks(self) -> int:
@@ -183,7 +189,7 @@ class Vocabulary:
 
     def part_of(self, context: np.ndarray, count: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The part of a pair, from the context's count: a context of many goes to several, by word."""
-        pieces = np.maximum(-(-count // CONTEXT_TOKENS), 1)
+        pieces = np.maximum(-(-count // self.levels.context_tokens), 1)
         piece = np.where(pieces > 1, (mix(word.astype(np.uint64)) % pieces.astype(np.uint64)).astype(np.int64), 0)
         return self.part(context, piece)
 
@@ -215,6 +221,23 @@ class Part:
         return out
 
 
+class Frequent:
+    """Scores of the frequent pairs, as the trie has them."""
+
+    def __init__(self, parts: DataFrame):
+        rows = parts.select(F.explode(F.arrays_zip("frequent", "frequent_scores")).alias("x")).select("x.*").collect()  # fewer than FREQUENT
+        pairs = np.array([r["frequent"] for r in rows], np.int64).view(np.uint64)
+        order = np.argsort(pairs)
+        self.pairs, self.scores = pairs[order], np.array([r["frequent_scores"] for r in rows], np.uint16)[order]
+
+    def log_probability(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 p(word | context), and whether the pair is frequent; any number where it is not."""
+        if not len(self.pairs):
+            return np.zeros(len(pairs)), np.zeros(len(pairs), bool)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return self.scores[at] * -STEP, self.pairs[at] == pairs
+
+
 def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
 
@@ -263,14 +286,16 @@ def train_words(docs: DataFrame) -> Levels:
     sizes = {r["shard"]: (r["words"], r["tokens"]) for r in kept.select("shard", "words", "tokens").collect()}
     in_shards = [sizes.get(s, (0, 0)) for s in range(shards)]
     offsets = np.cumsum([0, *(w for w, _ in in_shards)])
-    return Levels(shards, int(offsets[-1]), sum(t for _, t in in_shards), tuple(offsets[:-1].tolist()), files)
+    tokens = sum(t for _, t in in_shards)
+    return Levels(shards, int(offsets[-1]), tokens, tuple(offsets[:-1].tolist()), files, parts=max(8, -(-tokens // PART_TOKENS)),
+                  context_tokens=CONTEXT_TOKENS, frequent=max(FREQUENT_LEAST, -(-tokens // FREQUENT)))
 
 
 TALLY_ROW = "part int, keys binary, counts binary"
 
 
 def train_pairs(docs: DataFrame, levels: Levels) -> DataFrame:
-    """The second level as rows (part, blob), stored; a part without pairs has no row."""
+    """The second level as rows (part, blob, frequent pairs and their scores), stored; a part without pairs has no row."""
     def count_pairs(batches):
         words, tally = levels.opened(), Tally()
 
@@ -294,7 +319,7 @@ def train_pairs(docs: DataFrame, levels: Levels) -> DataFrame:
         keys, counts = _tallies(group)
         words = levels.opened()
         context, kinds = np.unique((keys // levels.base).astype(np.int64), return_counts=True)
-        wide = words.counts(context) > CONTEXT_TOKENS
+        wide = words.counts(context) > levels.context_tokens
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([_narrow(counts)], pa.binary()),
                          "ones": [int((counts == 1).sum())], "twos": [int((counts == 2).sum())],
                          "wide": pa.array([context[wide]], pa.list_(pa.int64())), "kinds": pa.array([kinds[wide]], pa.list_(pa.int64()))})
@@ -309,7 +334,7 @@ def train_pairs(docs: DataFrame, levels: Levels) -> DataFrame:
         words = levels.opened()
         for batch in batches:
             context, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("context", "kinds"))
-            pieces = -(-words.counts(context) // CONTEXT_TOKENS)
+            pieces = -(-words.counts(context) // levels.context_tokens)
             each = np.repeat(np.arange(len(context)), pieces)
             piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             yield pa.RecordBatch.from_arrays([pa.array(words.part(context[each], piece).astype(np.int32)), pa.array(context[each]), pa.array(kinds[each])],
@@ -335,12 +360,16 @@ def train_pairs(docs: DataFrame, levels: Levels) -> DataFrame:
         local = np.searchsorted(contexts, context)
         word = keys % levels.base
         p = (counts - discount) / of[local] + back[local] * 10 ** words.unigram(words.counts(word.astype(np.int64)))
-        blob = pack({"back_off": quantised(np.log10(np.maximum(back, 1e-16))), "scores": quantised(np.log10(p)),
+        scores, often = quantised(np.log10(p)), counts > levels.frequent
+        blob = pack({"back_off": quantised(np.log10(np.maximum(back, 1e-16))), "scores": scores,
                      **prefixed("contexts", EliasFano.of(contexts)), **prefixed("pointers", EliasFano.of(pointers)),
                      **prefixed("successors", EliasFano.of(pointers[local].astype(np.uint64) * levels.base + word))})
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary()),
+                         "frequent": pa.array([keys[often].view(np.int64)], pa.list_(pa.int64())),
+                         "frequent_scores": pa.array([scores[often].astype(np.int32)], pa.list_(pa.int32()))})
 
-    out = stored(rows.repartition(levels.tasks, "part").groupBy("part").applyInArrow(pair_level, "part int, blob binary"), "successors")
+    out = stored(rows.repartition(levels.tasks, "part").groupBy("part").applyInArrow(
+        pair_level, "part int, blob binary, frequent array<long>, frequent_scores array<int>"), "successors")
     discard(pairs)
     return out
 
@@ -363,12 +392,12 @@ def before(ids: np.ndarray) -> np.ndarray:
 SENT = "part int, kind int, chunk string, body binary"
 
 
-def sent_pairs(rows: DataFrame, levels: Levels) -> DataFrame:
+def sent_pairs(rows: DataFrame, levels: Levels, frequent: Frequent) -> DataFrame:
     """Rows for parts (kind 1: the pairs of a chunk of texts) and for nobody (kind 2: the chunk itself).
 
     A chunk is named by its task and its number there, the same if the task is run again.
-    What needs no second level, sums over tokens after a word that is not in training, is
-    in the chunk.
+    What needs no part is in the chunk: sums over tokens after a word that is not in
+    training, and over frequent pairs.
     """
     names = ["part", "kind", "chunk", "body"]
 
@@ -383,18 +412,21 @@ def sent_pairs(rows: DataFrame, levels: Levels) -> DataFrame:
                 base, n = words.unigram(counts), b - a
                 context = before(ids)
                 open_ = context >= 0
+                w = np.where(ids < 0, levels.words, ids)[open_]
+                pairs, doc = context[open_].astype(np.uint64) * levels.base + w.astype(np.uint64), text[open_]
+                log, often = frequent.log_probability(pairs)
+                known = np.bincount(text[~open_], base[~open_], minlength=n) + np.bincount(doc[often], log[often], minlength=n)
                 chunk = pack({"doc_id": _numbers(batch.column("doc_id").slice(a, n)), "has_id": np.array(batch.column("doc_id").slice(a, n).is_valid()).astype(np.uint8),
                               "held_out": np.array(batch.column("held_out").slice(a, n)).astype(np.uint8),
                               "n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, counts > 0, minlength=n).astype(np.int64),
-                              "base": np.bincount(text, base, minlength=n), "score": np.bincount(text[~open_], base[~open_], minlength=n).astype(np.float64)})
+                              "base": np.bincount(text, base, minlength=n), "score": known.astype(np.float64)})
                 name = f"{task}-{number}"
                 number += 1
                 out = [(-1 - number % 1024, 2, name, chunk)]
-                w = np.where(ids < 0, levels.words, ids)[open_]
-                pairs = context[open_].astype(np.uint64) * levels.base + w.astype(np.uint64)
-                part = words.part_of(context[open_], before(counts)[open_], w)
+                part = words.part_of(context[open_][~often], before(counts)[open_][~often], w[~often])
+                pairs, doc = pairs[~often], doc[~often].astype(np.uint16 if n < 1 << 16 else np.uint32)
                 order = np.lexsort((pairs, part))
-                pairs, part, doc = pairs[order], part[order], text[open_][order].astype(np.uint16 if n < 1 << 16 else np.uint32)
+                pairs, part, doc = pairs[order], part[order], doc[order]
                 cuts = np.flatnonzero(np.diff(part)) + 1
                 for i, j in zip([0, *cuts], [*cuts, len(part)]):
                     if i < j:
@@ -466,7 +498,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
                          pa.array(np.full(len(score), levels.tokens)), pa.array(chunk["base"]), pa.array(score)], names=names)
 
     blobs = parts.select("part", F.lit(0).alias("kind"), F.lit("").alias("chunk"), F.col("blob").alias("body"))
-    sent = sent_pairs(rows.withColumn("held_out", held_out), levels).unionByName(blobs)
+    sent = sent_pairs(rows.withColumn("held_out", held_out), levels, Frequent(parts)).unionByName(blobs)
     # a part comes before its pairs, which pass it one row at a time
     sums = sent.repartition(levels.tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(searched(levels), "chunk string, kind int, body binary")
     # a chunk is about TOGETHER bytes of text, or one text

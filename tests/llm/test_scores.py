@@ -82,10 +82,14 @@ def test_elias_fano(tmp_path, n, universe):
 
 
 @needs_tables
-def test_language_model_in_many_parts(spark, monkeypatch):
-    """Small parts, contexts that lie in several, and chunks of a few texts give the same scores."""
+@pytest.mark.parametrize("least", [1, 10**9])
+def test_language_model_in_many_parts(spark, monkeypatch, least):
+    """Small parts, contexts that lie in several, and chunks of a few texts give the same scores.
+
+    So do scores that are known everywhere, be they of all pairs that occur again or of none.
+    """
     whole = {r["doc_id"]: r for r in QUERIES["op2_language_model"](spark, SMALL).collect()}
-    for name, value in {"PART_TOKENS": 500, "CONTEXT_TOKENS": 40, "TOGETHER": 20_000, "TALLIES": 3000}.items():
+    for name, value in {"PART_TOKENS": 500, "CONTEXT_TOKENS": 40, "TOGETHER": 20_000, "TALLIES": 3000, "FREQUENT": 1 << 60, "FREQUENT_LEAST": least}.items():
         monkeypatch.setattr(ngram_lm, name, value)
     found = QUERIES["op2_language_model"](spark, SMALL).collect()
     assert len(found) == len(whole)
