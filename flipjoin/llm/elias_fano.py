@@ -10,6 +10,8 @@ import numpy as np
 
 #: Begins a blob in a file (fixed value).
 MAGIC = bytes.fromhex("e7a1f0c35b9d4286930f7ce2d4186ab9")
+#: Low bits that lie unpacked at a time, 17 bytes each.
+UNPACKED = 1 << 20
 
 
 class EliasFano:
@@ -39,7 +41,7 @@ class EliasFano:
         zeros = np.cumsum(64 - np.bitwise_count(high).astype(np.int64))
         low = np.zeros(0, np.uint8)
         if width:
-            step = max(1, (1 << 24) // width) // 8 * 8 or 8
+            step = max(1, UNPACKED // width) // 8 * 8 or 8
             parts = [np.packbits(((values[i:i + step, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
                      for i in range(0, n, step)]
             low = np.concatenate([*parts, np.zeros(8, np.uint8)])

@@ -42,6 +42,8 @@ from .numhash import Words, mix, text_groups
 MOD, HELD_OUT = 7, 2
 #: Bytes of text that are looked up together, and tallies a task holds before it sends them.
 TOGETHER, TALLIES = 8 << 20, 4_000_000
+#: Bytes of text that are hashed at a time: sums and products of eight bytes each for every byte.
+HASHED = 1 << 20
 #: Training tokens of a part of the second level, and of a context in one part.
 PART_TOKENS, CONTEXT_TOKENS = 1 << 20, 1 << 18
 #: A pair that is more than one in so many tokens, and occurs more than so often, is known everywhere.
@@ -110,10 +112,14 @@ def _tallies(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, the end after each text, and the text of each."""
-    words = Words(texts)
-    ends = words.first[1:]
-    hashes = np.insert(np.maximum(words.hash, np.uint64(1)), ends, END)
-    return hashes, np.insert(words.text, ends, np.arange(len(texts)))
+    hashes, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in text_groups(texts, HASHED):
+        words = Words(texts[a:b])
+        ends = words.first[1:]
+        hashes.append(np.insert(np.maximum(words.hash, np.uint64(1)), ends, END))
+        of.append(np.insert(words.text, ends, np.arange(b - a)) + a)
+        del words  # its sums go before the next are made
+    return np.concatenate(hashes), np.concatenate(of)
 
 
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
