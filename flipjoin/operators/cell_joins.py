@@ -4,8 +4,8 @@
 what it is named for, with its own replication and its own test of two codes:
 
 serial, hashing  codes go to every pair of blocks with their own; a cell compares the codes
-                 of one block with those of the other, by bitmaps of six bits.  A block too
-                 large for a cell is cut into sub-blocks, and pairs of those are the cells.
+                 of one block with those of the other, by bitmaps of six bits.  Blocks can
+                 be cut into sub-blocks, and pairs of those are the cells then.
 group            codes go to their cell of the weight grid, and over its border.  A cell
                  compares bands: weight w of one half with w + 1, where the other half is
                  equal, by one bitmap for either weight.
@@ -13,6 +13,8 @@ maxparallel      codes go to b cells, by one bit masked; cells that count two co
 multisection     codes meet those with equal rest in an equi-join, and differ in one bit of
                  the section that the rest leaves out.
 
+A cell of serial, hashing and group may hold the whole table, so it is no task: its rows are
+dealt by what lies outside a route of two slices, in which at most 2^12 codes are equal.
 No step looks at a code twice to find out where it was: what decides whether a cell
 reports a pair (its blocks, or whether the lower code is at home) travels with the row.
 """
@@ -25,24 +27,31 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import big, ones, shl
+from ..functions.bits import big, ones, shl, shr
 from ..functions.layout import Slice
 from ..plans.strategy import GROUP, HASHING, MAXPARALLEL, MULTISECTION, SERIAL, Strategy
 from .cells import bitmap_pairs, lookup, slot_of
 from .codes import word_names
 from .keys import block_of, explode_cells, grid_home, masked_words
 
-#: Codes that one block cell should hold; larger blocks are cut.
-CELL_ROWS = 4_000_000
+#: Slices that lie in one route: a shuffle key gets the codes that agree outside them, 2^12 at most.
+ROUTE_SLICES = 2
+#: Fields of a dealt row: a value in a route (12 bits), a side, the weight of a half and the route.
+_VALUE, _SIDE, _WEIGHT, _ROUTE = 0, 12, 13, 33
 #: Blocks of one strategy; as many counts come to the driver.
 MOST_BLOCKS = 4096
 
 
-def cut_blocks(codes: DataFrame, s: Strategy, cell_rows: int = CELL_ROWS) -> list[int]:
-    """Into how many sub-blocks each block is cut: one aggregated row a block, by a job of its own."""
+def cut_blocks(codes: DataFrame, s: Strategy, cell_rows: int | None = None) -> list[int]:
+    """Into how many sub-blocks each block is cut: one aggregated row a block, by a job of its own.
+
+    Without ``cell_rows`` none is cut and no job runs.
+    """
     blocks = s.param if s.name == HASHING else 1
     if blocks > MOST_BLOCKS:
         raise ValueError(f"cells of more than {MOST_BLOCKS} blocks are not run; use the slices")
+    if cell_rows is None:
+        return [1] * blocks
     counted = codes.groupBy(_block(s).alias("block")).agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = {r["block"]: r["n"] for r in counted}
     return [max(1, -(-2 * sizes.get(k, 0) // cell_rows)) for k in range(blocks)]
@@ -73,12 +82,19 @@ def map_blocks(codes: DataFrame, s: Strategy, cuts: list[int]) -> DataFrame:
 def group_blocks(mapped: DataFrame, s: Strategy, partitions: int | None = None) -> DataFrame:
     """Bitmaps of the lower and of the upper unit for each cell, slice and rest.
 
-    The shuffle is by cell; slices are taken and combined where their cell is.
+    The shuffle is by cell and what lies outside a route, so no cell is one task; slices
+    are taken and combined where their route is.
     """
-    names, cell = word_names(s.layout), ["lo", "hi", "ulo", "uhi"]
-    dealt = mapped.repartition(*([partitions] if partitions else []), "ulo", "uhi")
-    sliced, by = _sliced(dealt, names, s.layout.slices([(0, s.b)]), [*cell, "upper"])
-    return sliced.groupBy(*cell, *by).agg(_bits(~F.col("upper")).alias("low"), _bits(F.col("upper")).alias("high"))
+    slices = s.layout.slices([(0, s.b)])
+    # the one cell of serial is a constant, which is no shuffle key
+    cells = ["_unit"] if s.name == SERIAL else ["_cell", "_unit"]
+    packed = mapped.withColumns({"_cell": _both("lo", "hi"), "_unit": _both("ulo", "uhi")})
+    upper = F.col("_side") == 1
+    out = _dealt(packed, s, slices, cells, F.col("upper"), F.lit(0), partitions).groupBy(
+        *cells, *_outside(s), "_at").agg(_bits(~upper).alias("low"), _bits(upper).alias("high"))
+    if s.name == SERIAL:
+        out = out.withColumn("_cell", big(0))
+    return _placed(out, s, slices).select(*_halves("_cell", "lo", "hi"), *_halves("_unit", "ulo", "uhi"), "t", *word_names(s.layout), "low", "high")
 
 
 def reduce_blocks(grouped: DataFrame, s: Strategy, raw: bool) -> DataFrame:
@@ -111,27 +127,22 @@ def map_grid(codes: DataFrame, s: Strategy) -> DataFrame:
 def group_grid(mapped: DataFrame, s: Strategy, raw: bool, partitions: int | None = None) -> DataFrame:
     """Bitmaps of the weights w and w + 1 for each cell, half, w, slice of that half and rest.
 
-    The shuffle is by cell, half and the other half, in which a pair is equal, so no cell
-    of many codes is one task.  The lower code counts where it is at home, in mode
-    ``raw`` everywhere.
+    The shuffle is by cell and what lies outside a route of a half, in which a pair is
+    equal, so no cell of many codes is one task.  The lower code counts where it is at
+    home, in mode ``raw`` everywhere.
     """
     names, half = word_names(s.layout), s.b // 2
     ranges = [(half, s.b), (0, half)]
     slices = s.layout.slices(ranges)
-    which = F.col("half")
-    other = [w.alias(f"_o{k}") for k, w in enumerate(masked_words([F.col(w) for w in names], which, ranges, s.layout))]
-    others = [f"_o{k}" for k in range(len(names))]
-    halves = mapped.select("gi", "gj", "home", *names, F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).select(
-        "gi", "gj", "half", *other, "home", *names)
-    dealt = halves.repartition(*([partitions] if partitions else []), "gi", "gj", "half", *others)
     words = [F.col(w) for w in names]
-    weight = F.when(which == 0, ones(words, s.layout, half, s.b)).otherwise(ones(words, s.layout, 0, half))
-    numbers = [F.array(*[F.lit(t) for t, x in enumerate(slices) if x.section == k]) for k in (0, 1)]
-    keep = ["gi", "gj", "half", *others, "band", "home", "above"]
-    bands = dealt.withColumn("above", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", weight - F.col("above").cast("int"))
-    sliced, by = _sliced(bands, names, slices, keep, F.when(which == 0, numbers[0]).otherwise(numbers[1]))
-    lower = ~F.col("above") if raw else ~F.col("above") & F.col("home")
-    return sliced.groupBy("gi", "gj", "half", *others, "band", *by).agg(_bits(lower).alias("low"), _bits(F.col("above")).alias("high"))
+    left, right = ones(words, s.layout, half, s.b), ones(words, s.layout, 0, half)
+    packed = mapped.withColumn("_cell", _both("gi", "gj"))
+    dealt = _dealt(packed, s, slices, ["_cell"], F.col("home"), F.when(F.col("_half") == 0, left).otherwise(right), partitions)
+    bands = dealt.withColumn("above", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(
+        "band", F.col("_weight") - F.col("above").cast("int"))
+    lower = ~F.col("above") if raw else ~F.col("above") & (F.col("_side") == 1)
+    out = bands.groupBy("_cell", *_outside(s), "_at", "band").agg(_bits(lower).alias("low"), _bits(F.col("above")).alias("high"))
+    return _placed(out, s, slices).select(*_halves("_cell", "gi", "gj"), "band", "t", *names, "low", "high")
 
 
 def reduce_grid(grouped: DataFrame, s: Strategy) -> DataFrame:
@@ -200,7 +211,16 @@ def reduce_sections(grouped: DataFrame, s: Strategy) -> DataFrame:
                       *[F.col(f"_z{w}").bitwiseOR(F.col(f"_o{k}")).alias(f"hi{w}") for k, w in enumerate(names)])
 
 
-def cell_steps(codes: DataFrame, s: Strategy, raw: bool, cell_rows: int = CELL_ROWS, partitions: int | None = None) -> tuple:
+def rows_per_code(s: Strategy) -> int:
+    """Rows that a code becomes at most where cells are combined, for blocks that are not cut."""
+    if s.name in (SERIAL, HASHING):
+        return max(s.param, 1) * len(s.layout.slices([(0, s.b)]))
+    if s.name == GROUP:  # three cells, two bands
+        return 6 * len(s.layout.slices([(s.b // 2, s.b), (0, s.b // 2)]))
+    return len(s.free_ranges)
+
+
+def cell_steps(codes: DataFrame, s: Strategy, raw: bool, cell_rows: int | None = None, partitions: int | None = None) -> tuple:
     """The three steps of a strategy as functions: () to mapped, mapped to grouped, grouped to found.
 
     Each takes what the one before it gave, stored in between or not.
@@ -215,7 +235,7 @@ def cell_steps(codes: DataFrame, s: Strategy, raw: bool, cell_rows: int = CELL_R
     return (lambda: map_sections(codes, s), lambda df: group_sections(df, s, partitions), lambda df: reduce_sections(df, s))
 
 
-def cell_pairs(codes: DataFrame, s: Strategy, raw: bool, cell_rows: int = CELL_ROWS, partitions: int | None = None) -> DataFrame:
+def cell_pairs(codes: DataFrame, s: Strategy, raw: bool, cell_rows: int | None = None, partitions: int | None = None) -> DataFrame:
     """lo words, hi words and the cell columns of every pair of the distinct ``codes`` (words)."""
     mapped, grouped, reduced = cell_steps(codes, s, raw, cell_rows, partitions)
     return reduced(mapped() if s.name == MULTISECTION else grouped(mapped()))
@@ -225,8 +245,70 @@ def _bits(where: Column) -> Column:
     return F.coalesce(F.bit_or(F.when(where, F.col("_bit"))), big(0))
 
 
-def _sliced(df: DataFrame, names: list[str], slices: list[Slice], keep: list[str], numbers: Column | None = None) -> tuple[DataFrame, list[str]]:
-    """``df`` once for each slice number: t, the words outside it and the bit of its value."""
-    numbers = F.array(*map(F.lit, range(len(slices)))) if numbers is None else numbers
-    slot, rest = slot_of(names, slices)
-    return df.select(*keep, *names, F.explode(numbers).alias("t")).select(*keep, "t", *rest, shl(big(1), slot).alias("_bit")), ["t", *names]
+def _routes(slices: list[Slice]) -> tuple[list[Slice], list[list[int]]]:
+    """Neighbouring slices of one section and word together, and which slices each route has."""
+    of: list[list[int]] = []
+    for t, x in enumerate(slices):
+        last = slices[of[-1][-1]] if of else None
+        if last and len(of[-1]) < ROUTE_SLICES and (last.section, last.word, last.offset + last.width) == (x.section, x.word, x.offset):
+            of[-1].append(t)
+        else:
+            of.append([t])
+    firsts = [slices[ts[0]] for ts in of]
+    return [Slice(x.section, x.word, x.offset, sum(slices[t].width for t in ts), x.position) for x, ts in zip(firsts, of)], of
+
+
+def _outside(s: Strategy) -> list[str]:
+    return [f"_o{k}" for k in range(len(word_names(s.layout)))]
+
+
+def _dealt(df: DataFrame, s: Strategy, slices: list[Slice], cells: list[str], side: Column, weight: Column,
+           partitions: int | None) -> DataFrame:
+    """``df`` once for each slice, after a shuffle of one row for each route.
+
+    ``cells`` and the words outside the route are the shuffle key; a key has at most 2^12
+    codes.  ``_at`` is the slice and the route's value without it, ``_bit`` the value in
+    the slice; ``_side`` and ``_weight`` come along.  ``weight`` may use ``_half``, the section.
+    """
+    names, others = word_names(s.layout), _outside(s)
+    routes, of = _routes(slices)
+    slot, rest = slot_of(names, routes)
+    sent = df.select("*", F.explode(F.array(*map(F.lit, range(len(routes))))).alias("t"))
+    sent = sent.withColumn("_half", lookup([x.section for x in routes], F.col("t")))
+    fields = [(slot, _VALUE), (side.cast("bigint"), _SIDE), (weight.cast("bigint"), _WEIGHT), (F.col("t").cast("bigint"), _ROUTE)]
+    row = reduce(Column.bitwiseOR, (shl(c, n) for c, n in fields))
+    sent = sent.select(*cells, *[w.alias(o) for w, o in zip(rest, others)], row.alias("_row"))
+    dealt = sent.repartition(*([partitions] if partitions else []), *cells, *others)
+
+    def field(at: int, width: int) -> Column:
+        return shr(F.col("_row"), at).bitwiseAND(big((1 << width) - 1))
+
+    numbers = F.get(F.array(*[F.array(*map(F.lit, ts)) for ts in of]), field(_ROUTE, 30).cast("int"))
+    t, value = F.col("_t"), F.col("_value")
+    sliced = dealt.select(*cells, *others, field(_VALUE, 12).alias("_value"), field(_SIDE, 1).alias("_side"),
+                          field(_WEIGHT, 20).cast("int").alias("_weight"), F.explode(numbers).alias("_t"))
+    start = [x.offset - route.offset for route, ts in zip(routes, of) for x in (slices[t] for t in ts)]
+    mask = lookup([((1 << x.width) - 1) << n for x, n in zip(slices, start)], t, "bigint")
+    at = shl(t.cast("bigint"), _SIDE).bitwiseOR(value.bitwiseAND(F.bitwise_not(mask)))
+    return sliced.select(*cells, *others, "_side", "_weight", at.alias("_at"),
+                         shl(big(1), shr(value.bitwiseAND(mask), lookup(start, t))).alias("_bit"))
+
+
+def _placed(grouped: DataFrame, s: Strategy, slices: list[Slice]) -> DataFrame:
+    """The slice ``t`` and the words outside it, from ``_at`` and the words outside the route."""
+    routes, of = _routes(slices)
+    route = [x for x, ts in zip(routes, of) for _ in ts]
+    t = F.col("t")
+    value = shl(F.col("_at").bitwiseAND(big((1 << _SIDE) - 1)), lookup([x.offset for x in route], t))
+    words = {w: F.col(o).bitwiseOR(value.bitwiseAND(lookup([-(x.word == k) for x in route], t, "bigint")))
+             for k, (w, o) in enumerate(zip(word_names(s.layout), _outside(s)))}
+    return grouped.withColumn("t", shr(F.col("_at"), _SIDE).cast("int")).withColumns(words)
+
+
+def _both(high: str, low: str) -> Column:
+    """Two non-negative numbers of 31 bits as one."""
+    return shl(F.col(high).cast("bigint"), 32).bitwiseOR(F.col(low).cast("bigint"))
+
+
+def _halves(both: str, high: str, low: str) -> list[Column]:
+    return [shr(F.col(both), 32).cast("int").alias(high), F.col(both).bitwiseAND(big((1 << 32) - 1)).cast("int").alias(low)]

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.strategy import GROUP, HASHING, MAXPARALLEL, MULTISECTION, SERIAL, Strategy, strategy as make_strategy
-from .cell_joins import CELL_ROWS, cell_pairs
+from .cell_joins import cell_pairs
 from .cells import bitmap_pairs, slice_bitmaps
 from .codes import code_column, is_text, with_words, word_names
 from .keys import pair_cells, section_key, section_of
 
+#: Partitions of the large shuffle for each partition of the codes before it.
+MAP_SHARE = 8
+
 
 def pairs(
     df: DataFrame,
@@ -24,7 +27,7 @@ def pairs(
     clustered: bool = False,
     partitions: int | None = None,
     execution: str = "slices",
-    cell_rows: int = CELL_ROWS,
+    cell_rows: int | None = None,
     **params,
 ) -> DataFrame:
     """Pairs ``(x_lo, x_hi)`` of codes present in ``df``, ``x_lo`` having the zero bit.
@@ -43,9 +46,10 @@ def pairs(
 
     ``execution='slices'`` finds pairs by one slicing, whatever the strategy, and tells
     their cells from the codes.  ``'cells'`` runs the strategy on its own cells, with its
-    own replication (see ``cell_joins``); the rows are the same.  Blocks of serial and
-    hashing are then cut where a cell would hold more than ``cell_rows`` codes, by counts
-    that take a job while the query is built.
+    own replication (see ``cell_joins``); the rows are the same.  With ``cell_rows`` blocks
+    of serial and hashing are then cut where a cell would hold more codes, by counts that
+    take a job while the query is built.  With ``partitions`` codes are dealt anew before
+    they are replicated, so no task replicates a whole split.
     """
     if execution not in ("slices", "cells"):
         raise ValueError("execution is slices or cells")
@@ -74,8 +78,10 @@ def pairs(
     return found.select(*(["key"] if with_key else []), *out)
 
 
-def _of_cells(codes: DataFrame, s: Strategy, text: bool, raw: bool, with_key: bool, cell_rows: int,
+def _of_cells(codes: DataFrame, s: Strategy, text: bool, raw: bool, with_key: bool, cell_rows: int | None,
               partitions: int | None) -> DataFrame:
+    if partitions:
+        codes = codes.repartition(max(1, partitions // MAP_SHARE), *word_names(s.layout))
     found = cell_pairs(codes, s, raw, cell_rows, partitions)
     lo, hi = ([F.col(f"{side}{w}") for w in word_names(s.layout)] for side in ("lo", "hi"))
     keys = {

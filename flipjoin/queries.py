@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import bits as fb
 from .functions.layout import section_masks
 from .operators.formatting import format_keys, format_pairs
+from .operators.cell_joins import rows_per_code as cell_rows_of
 from .operators.groups import emits_histogram, group_sizes, groups, key_volume, size_histogram
 from .operators.keys import block_of, keyed
 from .operators.pairs import pairs
@@ -23,7 +24,7 @@ from .operators.records import HOT_ROWS, code_counts, record_pair_counts, record
 from .plans.cost import cost_profile
 from .plans.strategy import Strategy, strategy
 from .plans.timing import TIMING_SCHEMA, timing_profile, timing_summary
-from .session import shared_folder
+from .session import shared_folder, shuffle_partitions
 from .sources.buckets import stored_pairs, write_codes
 from .sources.encoders import bit_width, fold_signs, position_bitmap, sign_text, text_digests
 from .sources.reports import append_report, read_report
@@ -174,6 +175,13 @@ def coded(code: str, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return df, WIDTH.get(code) or even_width(df)
 
 
+def cell_partitions(code: str, s: Strategy, rows_per_code: int, spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for codes that become so many rows each: the table has a row for a code at least, and its footers tell how many."""
+    source = {"shipping": "lineitem", "months": "orders", "orders": "orders"}[code]
+    needed = shuffle_partitions(table(spark, sf_dir, source).count(), rows_per_code, len(s.layout.words))
+    return max(needed, spark.sparkContext.defaultParallelism)
+
+
 def register(name: str, query: Query, sql: str | None = None) -> None:
     QUERIES[name] = query
     if sql is not None:
@@ -302,7 +310,8 @@ def _cell_pairs(code: str, name: str, spark: SparkSession, sf_dir: str) -> DataF
     df, b = coded(code, spark, sf_dir)
     params = parameters(name, b)
     params.pop("block_by", None)
-    return pairs(df, b, name, execution="cells", unique=code == "orders", **params)
+    s = strategy(name, b, **params)
+    return pairs(df, b, s, execution="cells", unique=code == "orders", partitions=cell_partitions(code, s, cell_rows_of(s), spark, sf_dir))
 
 
 for _code in ("months", "orders", "shipping"):

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from conftest import as_pairs, brute, codes_frame
+from pyspark.sql import functions as F
 from test_pairs import all_strategies
 from test_plans import FORBIDDEN, plan
 
@@ -98,3 +99,17 @@ def test_bad_parameters(spark):
     with pytest.raises(ValueError):
         pairs(df, 20, "hashing", J=5000, execution="cells")
     assert pairs(codes_frame(spark, []), 8, "hashing", J=3, execution="cells").count() == 0
+
+
+@pytest.mark.parametrize("name,params", [("serial", {}), ("hashing", {"J": 2}), ("group", {"u": 3})])
+def test_no_shuffle_key_gathers_a_cell(spark, name, params):
+    """Half of all codes lie in one cell, equal in one half; a shuffle key gets 2^12 codes at most, not the cell."""
+    values = [v << 18 for v in range(0, 1 << 18, 13)] + [v for v in range(1 << 18) if v % 13 == 1]
+    df, s = codes_frame(spark, values), strategy(name, 36, **params)
+    codes = with_words(df, "x", s.layout).select(*word_names(s.layout))
+    mapped, grouped, _ = cell_joins.cell_steps(codes, s, False, partitions=64)
+    cells = mapped().groupBy(*(["gi", "gj"] if name == "group" else ["ulo", "uhi"])).count()
+    dealt = grouped(mapped()).groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in cells.collect()) > len(values) // 20
+    sizes = [r["count"] for r in dealt.collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * sum(sizes) / 64
