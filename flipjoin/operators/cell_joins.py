@@ -212,12 +212,15 @@ def reduce_sections(grouped: DataFrame, s: Strategy) -> DataFrame:
 
 
 def rows_per_code(s: Strategy) -> int:
-    """Rows that a code becomes at most where cells are combined, for blocks that are not cut."""
+    """Rows that a code becomes at most where cells are combined, for blocks that are not cut.
+
+    Cells of maxparallel are entries of two hash tables (partial and final counts), each twice the row.
+    """
     if s.name in (SERIAL, HASHING):
         return max(s.param, 1) * len(s.layout.slices([(0, s.b)]))
     if s.name == GROUP:  # three cells, two bands
         return 6 * len(s.layout.slices([(s.b // 2, s.b), (0, s.b // 2)]))
-    return len(s.free_ranges)
+    return (4 if s.name == MAXPARALLEL else 1) * len(s.free_ranges)
 
 
 def cell_steps(codes: DataFrame, s: Strategy, raw: bool, cell_rows: int | None = None, partitions: int | None = None) -> tuple:
