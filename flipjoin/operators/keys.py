@@ -177,8 +177,27 @@ def keyed_words(df: DataFrame, s: Strategy, text: bool) -> DataFrame:
         return explode_cells(own, names, s).select("_row.*", F.struct(*fields).alias("key"))
     words = [F.col(w) for w in names]
     last = len(s.free_ranges) - 1
+    if text:  # formatted once a code; a cell whose range is zero anyway has the code itself
+        df = df.withColumn("__text", code_column(words, s.layout, text))
     df = df.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    return df.withColumn("key", section_key(words, F.col("_n"), s, text)).drop("_n")
+    key = _cut_key(words, F.col("_n"), s) if text else section_key(words, F.col("_n"), s, text)
+    return df.withColumn("key", key).drop("_n", *(["__text"] if text else []))
+
+
+def _cut_key(words: list[Column], n: Column, s: Strategy) -> Column:
+    """``section_key`` of a text code, cut from ``__text``."""
+    def at(values: list[int]) -> Column:
+        return F.get(F.array(*map(F.lit, values)), n)
+
+    ranges = s.free_ranges
+    same = reduce(lambda a, c: a & c, (m == w for m, w in zip(masked_words(words, n, ranges, s.layout), words)))
+    zeros = F.substr(F.lit("0" * max(high - low for low, high in ranges)), F.lit(1), at([high - low for low, high in ranges]))
+    cut = F.concat(F.substr(F.col("__text"), F.lit(1), at([s.b - high for _, high in ranges])), zeros,
+                   F.substr(F.col("__text"), at([s.b - low + 1 for low, _ in ranges]), at([low for low, _ in ranges])))
+    rest = F.when(same, F.col("__text")).otherwise(cut)
+    if s.name == MAXPARALLEL:
+        return F.struct(n.cast("int").alias("p"), rest.alias("masked"))
+    return F.struct(n.cast("int").alias("m"), rest.alias("rest"))
 
 
 def keyed(df: DataFrame, s: Strategy, code: str = "x") -> DataFrame:
