@@ -22,7 +22,7 @@ COST_SCHEMA = (
 
 
 def cost_profile(df: DataFrame, s: Strategy, *, k: int = 1, key_volume: int = 0,
-                 code: str = "x", unique: bool = False) -> DataFrame:
+                 code: str = "x", unique: bool = False, partitions: int | None = None) -> DataFrame:
     """One row of costs for running ``s`` on the records of ``df``.
 
     ``k`` is the size of a record and ``key_volume`` that of a key, in KB.
@@ -30,7 +30,8 @@ def cost_profile(df: DataFrame, s: Strategy, *, k: int = 1, key_volume: int = 0,
     with the square of copies and is a DECIMAL.
 
     Records are first counted per code; every cost then follows from the codes
-    and their counts.  ``unique=True`` skips that count where codes do not repeat.
+    and their counts.  ``unique=True`` skips that count where codes do not repeat;
+    ``partitions`` sizes the shuffles of small cells and of emissions.
     Emissions are not enumerated: a pair is found once, by the cheapest
     strategy, and weighted with the number of cells its codes share.
     """
@@ -47,12 +48,12 @@ def cost_profile(df: DataFrame, s: Strategy, *, k: int = 1, key_volume: int = 0,
         F.coalesce(F.sum(n), F.lit(0)).alias("map_in"),
         F.coalesce(F.sum(n * emits(words, s)), F.lit(0)).alias("map_out"),
     )
-    reduced = cell_sizes(codes, s, text).agg(
+    reduced = cell_sizes(codes, s, text, partitions).agg(
         F.coalesce(F.max("q"), F.lit(0)).alias("q_max"),
         F.coalesce(F.sum("q"), F.lit(0)).alias("q_sum"),
         F.count(F.lit(1)).alias("reducers"),
     )
-    emitted = _emissions(codes, s, unique).agg(
+    emitted = _emissions(codes, s, unique, partitions).agg(
         F.coalesce(F.sum("e"), F.lit(0)).cast("decimal(38,0)").alias("emitted")
     )
     # three one-row results become one row
@@ -77,12 +78,12 @@ def cost_profile(df: DataFrame, s: Strategy, *, k: int = 1, key_volume: int = 0,
     )
 
 
-def _emissions(codes: DataFrame, s: Strategy, unique: bool) -> DataFrame:
+def _emissions(codes: DataFrame, s: Strategy, unique: bool, partitions: int | None = None) -> DataFrame:
     """``e`` per code pair: shared cells times record pairs, in exact decimals."""
     names = word_names(s.layout)
     # always true; a branch without ``n`` would count the records a second time
     # instead of sharing the shuffle of the counts
-    found = word_pairs(codes.where(F.col("n") > 0), s, count=None if unique else "n")
+    found = word_pairs(codes.where(F.col("n") > 0), s, partitions, count=None if unique else "n")
     shared = shared_cells(*[[F.col(f"{side}{w}") for w in names] for side in ("lo", "hi")], s)
     if unique:
         return found.select(shared.cast("decimal(38,0)").alias("e"))

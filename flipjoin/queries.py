@@ -508,30 +508,32 @@ def wide_key_sql(name: str) -> tuple[str, list[str]]:
             FROM (SELECT *, unnest(range(4::BIGINT)) AS m FROM c))""", ["m", "rest"]
 
 
-def _wide(make: Callable[[DataFrame, Strategy], DataFrame], name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+def _wide(make: Callable[[DataFrame, Strategy, int], DataFrame], name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     df, b = shipping_coded(spark, sf_dir)
-    return make(df, strategy(name, b, **WIDE[name]))
+    s = strategy(name, b, **WIDE[name])
+    return make(df, s, cell_partitions("shipping", s, len(s.free_ranges), spark, sf_dir))
 
 
 for _name in WIDE:
     _clause, _key = wide_key_sql(_name)
     _by = ", ".join(_key)
-    register(f"keys_{_name}_shipping", partial(_wide, lambda df, s: flat(keyed(df, s), "id", "x"), _name),
+    register(f"keys_{_name}_shipping", partial(_wide, lambda df, s, _: flat(keyed(df, s), "id", "x"), _name),
              f"{_clause} SELECT {_by}, id, x FROM k")
-    register(f"group_sizes_{_name}_shipping", partial(_wide, lambda df, s: flat(group_sizes(df, s), "q"), _name),
+    register(f"group_sizes_{_name}_shipping", partial(_wide, lambda df, s, n: flat(group_sizes(df, s, partitions=n), "q"), _name),
              f"{_clause} SELECT {_by}, count(*) AS q FROM k GROUP BY {_by}")
     _near = "l.x < r.x AND hamming(l.x, r.x) = 1"
-    register(f"cost_{_name}_shipping", partial(_wide, lambda df, s: _as_big(cost_profile(df, s)), _name),
+    register(f"cost_{_name}_shipping", partial(_wide, lambda df, s, n: _as_big(cost_profile(df, s, partitions=n)), _name),
              _profile_sql(_clause, _key, f"'{_name}'", f"{next(iter(WIDE[_name].values()), 0)}::BIGINT", "(SELECT b FROM w)", near=_near))
     _same = " AND ".join(f"l.{c} = r.{c}" for c in _key)
     # cells of two codes where that is the definition, else all codes of a cell compared
     register(f"pairs_raw_{_name}_shipping",
-             partial(_wide, lambda df, s: flat(pairs(df, s.b, s, mode="raw", with_key=True), "x_lo", "x_hi"), _name),
+             partial(_wide, lambda df, s, _: flat(pairs(df, s.b, s, mode="raw", with_key=True), "x_lo", "x_hi"), _name),
              f"{_clause} SELECT {_by}, min(x) AS x_lo, max(x) AS x_hi FROM k GROUP BY {_by} HAVING count(DISTINCT x) = 2" if _name == "maxparallel" else
              f"{_clause}, d AS (SELECT DISTINCT {_by}, x FROM k) SELECT {', '.join(f'l.{c} AS {c}' for c in _key)}, "
              f"l.x AS x_lo, r.x AS x_hi FROM d l JOIN d r ON {_same} AND {_near}")
-register("groups_multisection_shipping", partial(_wide, lambda df, s: flat(
-    groups(df.withColumn("x", F.concat("x", F.lit("-"), "id")), strategy("multisection", s.b, section=s.b // 2))
+register("groups_multisection_shipping", partial(_wide, lambda df, s, n: flat(
+    groups(df.withColumn("x", F.concat("x", F.lit("-"), "id")), strategy("multisection", s.b, section=s.b // 2),
+           partitions=n * (s.b // 2) // len(s.free_ranges))
     .withColumn("members", F.concat_ws(",", "members")), "members"), "multisection"),
     f"WITH w AS {_SHIP_WINDOW}, d AS (SELECT DISTINCT x, b FROM ({CODE_SQL['shipping']}), w), "
     "k AS (SELECT m, substr(x, 1, 2 * m) || '00' || substr(x, 2 * m + 3) AS rest, x FROM (SELECT *, unnest(range(b // 2)) AS m FROM d)) "
